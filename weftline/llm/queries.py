@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe_codec, decontaminate, token_counts
+from . import bpe_codec, decontaminate, line_dedup, quality_rules, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,19 @@ def op2_decontamination(spark, sf_dir):
     )
 
 
+def op3_quality_rules(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op4_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op5_line_dedup(spark, sf_dir):
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_bpe_codec(spark, sf_dir):
     return bpe_codec.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -33,10 +46,17 @@ def op10_token_counts(spark, sf_dir):
 def queries():
     return {
         "op2_decontamination": op2_decontamination,
+        "op3_quality_rules": op3_quality_rules,
+        "op4_url_filter": op4_url_filter,
+        "op5_line_dedup": op5_line_dedup,
         "op9_bpe_codec": op9_bpe_codec,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op3_quality_rules": quality_rules.oracle(),
+        "op4_url_filter": url_filter.oracle(),
+        "op5_line_dedup": line_dedup.oracle(),
+    }
