@@ -173,7 +173,10 @@ def item_digest(items: list[str]) -> str:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of `docs` that are not contaminated, columns as they are; rows go through one pass for each block."""
+    """The rows of `docs` that are not contaminated, columns as they are.
+
+    Up to 4 blocks of items are searched in one pass that only filters; more blocks go through `find_contamination`, whose verdicts are joined by
+    (doc_id, text hash)."""
     spark = docs.sparkSession
     blocks = [*blocks_of(benchmark, "item_id", "text", block_bytes)]
     shared = [broadcast_bytes(spark, pickle.dumps(b), "a block of benchmark items") for b in blocks]
@@ -191,4 +194,9 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "t
 
     if len(blocks) <= 4:
         return docs.mapInArrow(run, docs.schema)
-    raise ValueError("more than 4 blocks of benchmark items: join find_contamination's verdicts by id instead")
+    keyed = docs.select(docs["doc_id"].alias("id"), F.xxhash64(docs[text_col]).alias("th"), docs[text_col].alias("t"))
+    found = with_verdict(find_contamination(keyed, benchmark, id_cols=("id", "th"), text_col="t", window=window, block_bytes=block_bytes))
+    bad = found.where("contaminated").select("id", "th").distinct()
+    row = docs.select(F.struct("*").alias("d"))
+    same = F.col("d")["doc_id"].eqNullSafe(F.col("id")) & (F.xxhash64(F.col("d")[text_col]) == F.col("th"))
+    return row.join(bad, same, "left_anti").select("d.*")

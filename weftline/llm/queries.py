@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe_codec, decontaminate, line_dedup, quality_rules, token_counts, url_filter
+from . import bpe_codec, decontaminate, line_dedup, quality_rules, simhash, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_simhash(spark, sf_dir):
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op9_bpe_codec(spark, sf_dir):
     return bpe_codec.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -49,6 +54,7 @@ def queries():
         "op3_quality_rules": op3_quality_rules,
         "op4_url_filter": op4_url_filter,
         "op5_line_dedup": op5_line_dedup,
+        "op6_simhash": op6_simhash,
         "op9_bpe_codec": op9_bpe_codec,
         "op10_token_counts": op10_token_counts,
     }
