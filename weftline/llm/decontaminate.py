@@ -120,6 +120,13 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: i
         yield block
 
 
+def _shared(spark, block, window: int):
+    """Broadcast a block; the function returned gives a worker its matchers."""
+    blob = pickle.dumps(block)
+    shared, key = broadcast_bytes(spark, blob, "a block of benchmark items"), hashlib.sha256(blob).hexdigest()
+    return lambda: per_process(("wm", key, window), lambda: build(pickle.loads(shared.value), window))
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -134,11 +141,11 @@ def find_contamination(
     """Return id columns, n_words, spans (flat [start, end) word offsets of hits), items for every row of `docs`."""
     spark = docs.sparkSession
     passes = []
-    for k, block in enumerate([*blocks_of(benchmark, item_col, item_text_col, block_bytes)] or [[]]):
-        shared = broadcast_bytes(spark, pickle.dumps(block), "a block of benchmark items")
+    for block in [*blocks_of(benchmark, item_col, item_text_col, block_bytes)] or [[]]:
+        load = _shared(spark, block, window)
 
-        def run(texts, shared=shared):
-            mm = per_process(("wm", shared.id, window), lambda: build(pickle.loads(shared.value), window))
+        def run(texts, load=load):
+            mm = load()
             found = [scan(t, mm) for t in texts]
             return {n: [f[i] for f in found] for i, n in enumerate(SCHEMA.names)}
 
@@ -179,11 +186,11 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "t
     (doc_id, text hash)."""
     spark = docs.sparkSession
     blocks = [*blocks_of(benchmark, "item_id", "text", block_bytes)]
-    shared = [broadcast_bytes(spark, pickle.dumps(b), "a block of benchmark items") for b in blocks]
+    loads = [_shared(spark, b, window) for b in blocks] if len(blocks) <= 4 else []
     at = docs.columns.index(text_col)
 
     def run(batches):
-        mms = [mm for s in shared for mm in per_process(("wm", s.id, window), lambda s=s: build(pickle.loads(s.value), window))]
+        mms = [mm for load in loads for mm in load()]
         for b in batches:
             mask = []
             for t in b.column(at).to_pylist():
