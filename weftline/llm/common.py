@@ -98,3 +98,8 @@ def no_rows(spark: SparkSession, ddl: str) -> DataFrame:
 
 def col_or_null(df: DataFrame, name: str, kind: str):
     return df[name] if name in df.columns else F.lit(None).cast(kind)
+
+
+def held_out(id_col):
+    """Rows whose crc32(id as text) mod 5 is 0; null ids are not."""
+    return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe_codec, decontaminate, line_dedup, quality_rules, simhash, token_counts, url_filter
+from . import bpe_codec, decontaminate, language_id, line_dedup, quality_model, quality_rules, simhash, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark, sf_dir):
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_decontamination(spark, sf_dir):
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.with_verdict(found).select(
@@ -39,6 +43,10 @@ def op6_simhash(spark, sf_dir):
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_codec(spark, sf_dir):
     return bpe_codec.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -50,11 +58,13 @@ def op10_token_counts(spark, sf_dir):
 
 def queries():
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op2_decontamination": op2_decontamination,
         "op3_quality_rules": op3_quality_rules,
         "op4_url_filter": op4_url_filter,
         "op5_line_dedup": op5_line_dedup,
         "op6_simhash": op6_simhash,
+        "op7_language_id": op7_language_id,
         "op9_bpe_codec": op9_bpe_codec,
         "op10_token_counts": op10_token_counts,
     }
