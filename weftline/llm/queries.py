@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe_codec, decontaminate, language_id, line_dedup, quality_model, quality_rules, simhash, token_counts, url_filter
+from . import bpe_codec, decontaminate, language_id, line_dedup, quality_model, quality_rules, simhash, substring_dedup, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op7_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op9_bpe_codec(spark, sf_dir):
     return bpe_codec.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -65,6 +69,7 @@ def queries():
         "op5_line_dedup": op5_line_dedup,
         "op6_simhash": op6_simhash,
         "op7_language_id": op7_language_id,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_bpe_codec": op9_bpe_codec,
         "op10_token_counts": op10_token_counts,
     }
