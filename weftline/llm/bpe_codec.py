@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from .common import broadcast_bytes, map_texts, per_process
 
 #: Distinct pre-tokens remembered in a worker; the memo is emptied when full, which changes no result.
-MEMO = 300_000
+MEMO = 200_000
 LEAF = 32
 SCHEMA = pa.schema([("token_ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 DIGEST = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

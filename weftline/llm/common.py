@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,19 @@ def broadcast_bytes(spark: SparkSession, blob: bytes, what: str):
     return spark.sparkContext.broadcast(blob)
 
 
+def slices(batch: pa.RecordBatch, text_at: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about `most` bytes of text; a longer text is alone. What a worker holds at once is so bounded."""
+    size = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_pylist()
+    low = total = 0
+    for i, n in enumerate(size):
+        if total and total + n > most:
+            yield batch.slice(low, i - low)
+            low, total = i, 0
+        total += n
+    if low < batch.num_rows:
+        yield batch.slice(low)
+
+
 def map_texts(
     docs: DataFrame,
     func: Callable[[list[str | None]], dict[str, list]],
@@ -51,9 +65,7 @@ def map_texts(
     names = list(schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (part for whole in batches for part in slices(whole, len(keep))):
             out = func(b.column(len(keep)).to_pylist())
             cols = [b.column(i) for i in range(len(keep))] + [pa.array(out[n], schema.field(n).type) for n in names]
             yield pa.RecordBatch.from_arrays(cols, [*keep, *names])

@@ -9,7 +9,7 @@ Words are runs of ASCII letters and digits (A-Z lower-cased) and of any characte
 words and no hits. Null item texts have no window. Repeated item rows and windows that several items share count for each
 item. An empty benchmark leaves every document clean. Null ids are returned as they are.
 
-Patterns are broadcast in blocks of bounded size, one pass over the documents for each block; passes are united by row.
+Patterns are broadcast in blocks of bounded size; a worker scans its texts for one block after another and unites the hits.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_bytes, map_texts, per_process
+from .common import broadcast_bytes, map_texts, per_process, slices
 
 WINDOW = 13
-#: Bytes of item text searched for in one pass.
+#: Bytes of item text searched for at once.
 BLOCK_BYTES = 16 << 20
 
 _KEEP = b"abcdefghijklmnopqrstuvwxyz0123456789"
@@ -95,6 +95,18 @@ def scan(text: str | None, matchers: list[WuManber]) -> tuple[int, list[int], li
     return len(words), unite(spans), sorted(items)
 
 
+def scan_all(texts: list[str | None], loads) -> list[tuple[int, list[int], list[str]]]:
+    """Scan texts for one block of items after another, so that few blocks are in memory at a time."""
+    if not loads:
+        return [scan(t, []) for t in texts]
+    out = None
+    for load in loads:
+        found = [scan(t, load()) for t in texts]
+        pairs = lambda s: list(zip(s[::2], s[1::2]))
+        out = found if out is None else [(n, unite(pairs(s) + pairs(s2)), sorted({*i, *i2})) for (n, s, i), (_, s2, i2) in zip(out, found)]
+    return out
+
+
 def unite(spans) -> list[int]:
     out: list[int] = []
     for a, b in sorted(spans):
@@ -139,33 +151,13 @@ def find_contamination(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Return id columns, n_words, spans (flat [start, end) word offsets of hits), items for every row of `docs`."""
-    spark = docs.sparkSession
-    passes = []
-    for block in [*blocks_of(benchmark, item_col, item_text_col, block_bytes)] or [[]]:
-        load = _shared(spark, block, window)
-
-        def run(texts, load=load):
-            mm = load()
-            found = [scan(t, mm) for t in texts]
-            return {n: [f[i] for f in found] for i, n in enumerate(SCHEMA.names)}
-
-        passes.append(map_texts(docs, run, SCHEMA, DDL, keep=id_cols, text_col=text_col))
-    if len(passes) == 1:
-        return passes[0]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    flat = F.sort_array(F.flatten(F.collect_list("pairs")))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("spans") / 2 - 1), lambda i: F.struct(F.get("spans", (2 * i).cast("int")).alias("a"), F.get("spans", (2 * i + 1).cast("int")).alias("b")))
-    every = every.withColumn("pairs", F.when(F.size("spans") > 0, pairs).otherwise(F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")))
-    # ids may be null or repeated only if rows are equal in them: one row for each id then
-    merged = every.groupBy(*id_cols).agg(F.max("n_words").alias("n_words"), flat.alias("pairs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    joined = F.aggregate(
-        "pairs",
-        F.expr("cast(array() as array<bigint>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (x["a"] <= F.element_at(acc, -1)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.greatest(F.element_at(acc, -1), x["b"])))).otherwise(F.concat(acc, F.array(x["a"], x["b"]))),
-    )
-    return merged.select(*id_cols, "n_words", joined.alias("spans"), "items")
+    loads = [_shared(docs.sparkSession, b, window) for b in blocks_of(benchmark, item_col, item_text_col, block_bytes)]
+
+    def run(texts):
+        found = scan_all(texts, loads)
+        return {n: [f[i] for f in found] for i, n in enumerate(SCHEMA.names)}
+
+    return map_texts(docs, run, SCHEMA, DDL, keep=id_cols, text_col=text_col)
 
 
 def with_verdict(found: DataFrame) -> DataFrame:
@@ -180,30 +172,15 @@ def item_digest(items: list[str]) -> str:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of `docs` that are not contaminated, columns as they are.
-
-    Up to 4 blocks of items are searched in one pass that only filters; more blocks go through `find_contamination`, whose verdicts are joined by
-    (doc_id, text hash)."""
-    spark = docs.sparkSession
-    blocks = [*blocks_of(benchmark, "item_id", "text", block_bytes)]
-    loads = [_shared(spark, b, window) for b in blocks] if len(blocks) <= 4 else []
+    """The rows of `docs` that are not contaminated, columns as they are."""
+    loads = [_shared(docs.sparkSession, b, window) for b in blocks_of(benchmark, "item_id", "text", block_bytes)]
     at = docs.columns.index(text_col)
 
     def run(batches):
-        mms = [mm for load in loads for mm in load()]
         for b in batches:
-            mask = []
-            for t in b.column(at).to_pylist():
-                n, spans, _ = scan(t, mms)
-                hit = sum(spans[1::2]) - sum(spans[::2])
-                mask.append(not (hit > 0 and 20 * hit >= n))
-            yield b.filter(pa.array(mask, pa.bool_()))
-
-    if len(blocks) <= 4:
-        return docs.mapInArrow(run, docs.schema)
-    keyed = docs.select(docs["doc_id"].alias("id"), F.xxhash64(docs[text_col]).alias("th"), docs[text_col].alias("t"))
-    found = with_verdict(find_contamination(keyed, benchmark, id_cols=("id", "th"), text_col="t", window=window, block_bytes=block_bytes))
-    bad = found.where("contaminated").select("id", "th").distinct()
-    row = docs.select(F.struct("*").alias("d"))
-    same = F.col("d")["doc_id"].eqNullSafe(F.col("id")) & (F.xxhash64(F.col("d")[text_col]) == F.col("th"))
-    return row.join(bad, same, "left_anti").select("d.*")
+            for part in slices(b, at):
+                found = scan_all(part.column(at).to_pylist(), loads)
+                hits = [(n, sum(s[1::2]) - sum(s[::2])) for n, s, _ in found]
+                yield part.filter(pa.array([not (h > 0 and 20 * h >= n) for n, h in hits], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
