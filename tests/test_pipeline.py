@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from weftline.plans.config import Config
 from weftline.plans.pipeline import Pipeline, interpret
-from weftline.plans.providers import CannedModel, HashEmbedding
+from weftline.plans.providers import CannedModel, HashEmbedding, HostedModel
 from weftline.sources import graph as G
 from weftline.sources import schemas
 from weftline.streaming import prompts as stream
@@ -57,3 +57,11 @@ def test_stream_of_prompts(spark, parts, tmp_path):
 def test_config():
     c = Config.from_env({"WEFTLINE_BEAM": "5", "WEFTLINE_GRAPH": "g"})
     assert (c.beam_width, c.graph_path, c.top_k) == (5, "g", 5)
+
+
+def test_hosted_model(spark):
+    with pytest.raises(RuntimeError, match="token"):
+        HostedModel(lambda *a: "", None)
+    p = spark.createDataFrame([(1, "transfer funds")], "prompt_id int, text string")
+    intents, steps, _ = interpret(p, HostedModel(lambda system, user, n, t: '{"intent": "%s", "inferred_steps": [{"text": "check"}]}' % user, "t"))
+    assert intents.first()["intent"] == "transfer funds" and [r.text for r in steps.orderBy("step_index").collect()] == ["transfer funds", "check"]

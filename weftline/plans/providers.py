@@ -49,6 +49,33 @@ class CannedModel:
         return prompts.join(self.replies, "text").select("prompt_id", "reply")
 
 
+#: What a reply must hold, as told to a model.
+CONTRACT = (
+    "Answer with one JSON object and nothing else: intent (string), explicit_steps and inferred_steps (lists of objects with text and reason), "
+    "dependencies (list of objects with before and after, texts of steps). Keep the wording of explicit steps; infer only steps that the domain supports."
+)
+
+
+class HostedModel:
+    """Any chat endpoint behind `call(system, user, max_tokens, temperature) -> str`, asked from the executors, one prompt a call."""
+
+    def __init__(self, call, token: str | None, max_tokens: int = 1000, temperature: float = 0.1, context_rows: int = 200):
+        if not token:
+            raise RuntimeError("a model token is needed")
+        self.call, self.max_tokens, self.temperature, self.context_rows = call, max_tokens, temperature, context_rows
+
+    def enrich(self, prompts: DataFrame, context: DataFrame | None = None) -> DataFrame:
+        known = "" if context is None else "\nKnown concepts:\n" + "\n".join(context.limit(self.context_rows).toJSON().collect())
+        call, limit, temperature = self.call, self.max_tokens, self.temperature
+
+        def ask(parts):
+            for pdf in parts:
+                yield pdf[["prompt_id"]].assign(reply=[call(CONTRACT, f"{t}{known}", limit, temperature) for t in pdf["text"]])
+
+        kind = prompts.schema["prompt_id"].dataType.simpleString()
+        return prompts.select("prompt_id", "text").mapInPandas(ask, f"prompt_id {kind}, reply string")
+
+
 def fill_embeddings(nodes: DataFrame, embedding: Embedding) -> DataFrame:
     """Stored vectors stay; others are encoded from the node's text."""
     text = X.node_text_client(*[F.col(c) for c in ("name", "description", "id", "aliases", "types")])
