@@ -79,14 +79,26 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), n.cast("double")))
 
 
+def token_parts(parts: Column, tokenise=token_set) -> Column:
+    """Token sets of an array of strings, nulls left out; one side of `best_jaccard`, computed once a row and not once a pair."""
+    return F.transform(F.filter(parts, lambda x: x.isNotNull()), tokenise)
+
+
+def best_jaccard(query_tokens: Column, part_tokens: Column) -> Column:
+    return F.coalesce(F.array_max(F.transform(part_tokens, lambda x: jaccard(query_tokens, x))), F.lit(0.0))
+
+
 def lexical(query: Column, parts: Column, tokenise=token_set) -> Column:
     """Best Jaccard of the query with any of `parts` (array of strings); an empty query scores 0."""
-    q = tokenise(query)
-    return F.coalesce(F.array_max(F.transform(F.filter(parts, lambda x: x.isNotNull()), lambda x: jaccard(q, tokenise(x)))), F.lit(0.0))
+    return F.get(F.transform(F.array(tokenise(query)), lambda q: best_jaccard(q, token_parts(parts, tokenise))), F.lit(0))
+
+
+def client_parts(name, id_, description, aliases, types) -> Column:
+    return F.concat(F.array(name, id_, description), F.coalesce(aliases, F.expr(EMPTY)), F.coalesce(types, F.expr(EMPTY)))
 
 
 def lexical_client(query: Column, name, id_, description, aliases, types) -> Column:
-    return lexical(query, F.concat(F.array(name, id_, description), F.coalesce(aliases, F.expr(EMPTY)), F.coalesce(types, F.expr(EMPTY))))
+    return lexical(query, client_parts(name, id_, description, aliases, types))
 
 
 def lexical_builder(query: Column, name, aliases, description) -> Column:

@@ -44,15 +44,16 @@ def candidate_nodes(steps: DataFrame, nodes: DataFrame, k: int = 5, node_types:
 
     steps: step_id, text, query; nodes: seq, id, name, node_type, description, aliases, types, embedding. With guard_empty, empty texts find nothing.
     """
-    q = steps.select("step_id", "text", V.doubles(F.col("query")).alias("query")).withColumn("_qn", V.norm(F.col("query")))
+    q = steps.select("step_id", "text", V.doubles(F.col("query")).alias("query")).withColumn("_qn", V.norm(F.col("query"))).withColumn("_qt", X.token_set(F.col("text")))
     if guard_empty:
         q = q.where(F.coalesce(F.trim("text"), F.lit("")) != "")
     n = nodes.withColumn("embedding", V.doubles(F.col("embedding"))).withColumn("_nn", V.norm(F.col("embedding")))
+    n = n.withColumn("_nt", X.token_parts(X.client_parts(*[F.col(c) for c in ("name", "id", "description", "aliases", "types")])))
     if node_types:
         n = n.where(type_filter(X.strings(*node_types), F.col("types"), F.col("node_type")))
     both = pairs(q, n)
     both = both.withColumn("semantic_score", V.cosine_client(F.col("query"), F.col("embedding"), F.col("_qn"), F.col("_nn")))
-    both = both.withColumn("lexical_score", X.lexical_client(F.col("text"), *[F.col(c) for c in ("name", "id", "description", "aliases", "types")]))
+    both = both.withColumn("lexical_score", X.best_jaccard(F.col("_qt"), F.col("_nt")))
     both = both.withColumn("score", V.blend_client(F.col("semantic_score"), F.col("lexical_score"))).where("score > 0")
     slim = both.select("step_id", "seq", "id", "name", "node_type", "score", "lexical_score", "semantic_score")
     return top_k(slim, ["step_id"], [F.col("score").desc(), F.col("seq")], k)

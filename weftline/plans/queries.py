@@ -181,10 +181,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qk ORDER BY client DESC, p_partk
 SELECT qk, rank, p_partkey, round(client, 9) AS client, round(builder, 9) AS builder FROM r"""
 )
 def lexical_scores(spark, d):
-    p = table(spark, d, "part")
-    q = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("qk"), F.concat("p_name", F.lit(" "), "p_type").alias("text"))
-    both = candidates.pairs(q, p)
-    both = both.select("qk", "p_partkey", X.lexical(F.col("text"), F.array("p_name", "p_brand")).alias("client"), X.lexical(F.col("text"), F.array("p_name", "p_type"), X.token_set_builder).alias("builder"))
+    c = F.col
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_type", X.token_parts(F.array("p_name", "p_brand")).alias("nt"), X.token_parts(F.array("p_name", "p_type"), X.token_set_builder).alias("nb"))
+    text = F.concat("p_name", F.lit(" "), "p_type")
+    q = p.where("p_partkey % 50 = 0").select(c("p_partkey").alias("qk"), X.token_set(text).alias("qt"), X.token_set_builder(text).alias("qb"))
+    both = candidates.pairs(q, p).select("qk", "p_partkey", X.best_jaccard(c("qt"), c("nt")).alias("client"), X.best_jaccard(c("qb"), c("nb")).alias("builder"))
     best = ranking.top_k(both, ["qk"], [F.col("client").desc(), F.col("p_partkey")], 5)
     return best.select("qk", F.col("rank").cast("long").alias("rank"), "p_partkey", r9("client").alias("client"), r9("builder").alias("builder"))
 
