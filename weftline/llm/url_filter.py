@@ -29,6 +29,7 @@ SMALL_SHARE = 0.05
 Z = 1.96
 SMOOTHING = 10.0
 MIN_PURITY = 0.5
+SALTS = 32
 
 
 def parse(url: Column) -> tuple[Column, Column]:
@@ -48,6 +49,13 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def salted(big: DataFrame, small: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Join a few rows of `small` for each key to many of `big`: rows of a hot key are spread over SALTS by another column."""
+    spread = big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return spread.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def grow(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
     """From distinct (host, path) with n, lab, good to the same with their template."""
     parts = F.split(F.regexp_replace("path", "^/", ""), "/")
@@ -56,7 +64,7 @@ def grow(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
         here = at.withColumn("s", F.get("seg", F.lit(d)))
         child = here.where(F.col("s").isNotNull()).groupBy("host", "template", "s").agg(*[F.sum(c).alias(c) for c in ("n", "lab", "good")])
         node = child.groupBy("host", "template").agg(F.count("*").alias("kids"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "lab", "good")])
-        both = child.join(node, ["host", "template"])
+        both = salted(child, node, ["host", "template"], "s")
         variable = (F.col("kids") >= MANY_CHILDREN) & (F.col("n") < SMALL_SHARE * F.col("all_n"))
         rest = F.col("all_lab") - F.col("lab")
         pooled = F.try_divide(F.col("all_good"), F.col("all_lab"))
@@ -83,7 +91,7 @@ def judge(
     mean = (whole[1] / whole[0]) if whole[0] else 1.0
     purity = (F.sum("good") + F.lit(SMOOTHING * mean)) / (F.sum("lab") + F.lit(SMOOTHING))
     judged = at.groupBy("host", "template").agg(purity.alias("purity"))
-    by_url = at.select("host", "path", "template").join(judged, ["host", "template"])
+    by_url = salted(at.select("host", "path", "template"), judged, ["host", "template"], "path")
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     out = page.join(by_url, ["host", "path"], "left")
     method = F.when(F.col("purity") < min_purity, "block").otherwise("allow")
