@@ -47,6 +47,16 @@ def slices(batch: pa.RecordBatch, text_at: int, most: int = 4 << 20) -> Iterator
         yield batch.slice(low)
 
 
+def workers(spark: SparkSession) -> None:
+    """In local mode let Python workers find this package wherever the driver was started; a cluster gets it by --py-files."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local"):
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        known = sc.environment.get("PYTHONPATH", "")
+        if root not in known.split(os.pathsep):
+            sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+
+
 def map_texts(
     docs: DataFrame,
     func: Callable[[list[str | None]], dict[str, list]],
@@ -60,6 +70,7 @@ def map_texts(
 
     Only the named columns are read, so further columns of any name do no harm.
     """
+    workers(docs.sparkSession)
     src = docs.select(*[docs[c] for c in keep], docs[text_col].alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[: len(keep)])
     names = list(schema.names)
@@ -76,6 +87,7 @@ def map_texts(
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a folder of our own only where none is set, as in local tests."""
     sc = spark.sparkContext
+    workers(spark)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()

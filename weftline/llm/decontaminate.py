@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_bytes, map_texts, per_process, slices
+from .common import broadcast_bytes, map_texts, per_process, slices, workers
 
 WINDOW = 13
 #: Bytes of item text searched for at once.
@@ -173,6 +173,7 @@ def item_digest(items: list[str]) -> str:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of `docs` that are not contaminated, columns as they are."""
+    workers(docs.sparkSession)
     loads = [_shared(docs.sparkSession, b, window) for b in blocks_of(benchmark, "item_id", "text", block_bytes)]
     at = docs.columns.index(text_col)
 

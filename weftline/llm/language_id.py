@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_bytes, held_out, map_texts, per_process
+from .common import broadcast_bytes, held_out, map_texts, per_process, workers
 
 BITS = 16
 CHAIN = 128
@@ -209,6 +209,7 @@ class Model:
 
 def fit(docs: DataFrame, *, per_lang: int = PER_LANG, lang_col: str = "lang") -> Model:
     """A model learned from a bounded sample, in one task."""
+    workers(docs.sparkSession)
     known = docs.where(docs[lang_col].isNotNull() & docs["doc_id"].isNotNull() & ~held_out(docs["doc_id"]))
     keys = known.select(docs["doc_id"].alias("id"), docs[lang_col].alias("lang")).withColumn("h", F.xxhash64("id"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_bytes, held_out, map_texts, per_process
+from .common import broadcast_bytes, held_out, map_texts, per_process, workers
 
 BITS = 18
 SAMPLE = 4096
@@ -104,6 +104,7 @@ def score(text: str | None, w: np.ndarray, memo: Words) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, label_col: str = "quality") -> np.ndarray:
     """Weights learned from a bounded sample, in one task."""
+    workers(docs.sparkSession)
     marked = labels.where(labels[label_col].isNotNull() & labels["doc_id"].isNotNull() & ~held_out(labels["doc_id"]))
     y = (F.avg(labels[label_col]) >= 0.5).cast("int")
     order = [F.xxhash64("id"), F.col("id")]
