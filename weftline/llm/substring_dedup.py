@@ -17,7 +17,9 @@ an empty table.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import time
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, workers
 
 LENGTH = 100
 GRAM = 16
@@ -106,6 +108,7 @@ def chunks(texts: list[str | None], most: int = BUFFER):
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    workers(docs.sparkSession)
     text = F.coalesce(docs[text_col], F.lit(""))
     return docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("k"), text.alias("text"))
 
@@ -183,14 +186,15 @@ def spans_of(row: np.ndarray, start: np.ndarray, length: int):
     return row[i], start[i], start[last] + length
 
 
-def repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, task_rows: int = TASK_ROWS) -> DataFrame:
-    """(id, k, spans) of documents (id, k, text) with repeated strings."""
-    spark = docs.sparkSession
+def recurring(docs: DataFrame, length: int, gram: int, task_rows: int) -> DataFrame:
+    """(id, k, at): documents' anchors whose hash recurs, with the salts that their number of rows asks for. A checkpoint."""
     found = anchor_rows(docs, length, gram)
     count = found.groupBy("h").agg(F.count("*").alias("n_rows")).where("n_rows > 1").select("h", F.ceil(F.col("n_rows") / task_rows).cast("int").alias("salts"))
-    again = found.join(count, "h").groupBy("id", "k").agg(F.collect_list(F.struct("lo", "n", "h", "salts")).alias("at"))
-    again = cut(again)
-    release(spark)
+    return cut(found.join(count, "h").groupBy("id", "k").agg(F.collect_list(F.struct("lo", "n", "h", "salts")).alias("at")))
+
+
+def compared(docs: DataFrame, again: DataFrame, length: int, gram: int, task_rows: int) -> DataFrame:
+    """(id, k, a, b, w, open): spans that occurred before, and windows (open, with hash w) that are still first within their salt. A checkpoint."""
     total = again.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
     picked = docs.withColumnRenamed("id", "id1").withColumnRenamed("k", "k1").join(again, F.col("id1").eqNullSafe(F.col("id")) & (F.col("k1") == F.col("k")))
     bucket = F.pmod(F.xxhash64("h", F.when(F.col("salts") > 1, F.pmod(F.col("k"), F.col("salts"))).otherwise(F.lit(0))), F.lit(max(1, -(-total // task_rows))))
@@ -214,7 +218,16 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, task_row
         )
 
     kind = docs.schema["id"].dataType.simpleString()
-    out = cut(ctx.groupBy("bucket").applyInPandas(run, f"id {kind}, k long, a long, b long, w long, open boolean"))
+    return cut(ctx.groupBy("bucket").applyInPandas(run, f"id {kind}, k long, a long, b long, w long, open boolean"))
+
+
+def repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(id, k, spans) of documents (id, k, text) with repeated strings. Phases are functions, so that nothing here holds a finished phase's shuffle files."""
+    spark = docs.sparkSession
+    again = recurring(docs, length, gram, task_rows)
+    release(spark)
+    out = compared(docs, again, length, gram, task_rows)
+    del again
     release(spark)
     spans = out.where(~F.col("open")).select("id", "k", "a", "b")
     later = out.where("open")
@@ -226,11 +239,13 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, task_row
 
 
 def release(spark) -> None:
-    """Let Spark delete the shuffle files of finished phases now; else they stay until the driver happens to collect its garbage."""
-    import gc
+    """Let Spark delete the shuffle files of finished phases now; else they stay until the driver happens to collect its garbage.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    What the first collection frees holds what the second one does, and Spark deletes in the background."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def cut_out(text: str | None, spans) -> tuple[int, int, int, bytes]:
