@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, workers
+from .common import cut, shared_path, workers
 
 LENGTH = 100
 GRAM = 16
@@ -190,11 +190,13 @@ def recurring(docs: DataFrame, length: int, gram: int, task_rows: int) -> DataFr
     """(id, k, at): documents' anchors whose hash recurs, with the salts that their number of rows asks for. A checkpoint."""
     found = anchor_rows(docs, length, gram)
     count = found.groupBy("h").agg(F.count("*").alias("n_rows")).where("n_rows > 1").select("h", F.ceil(F.col("n_rows") / task_rows).cast("int").alias("salts"))
+    count = cut(count)  # a join side of its own, so that Spark can split the rows of a hot anchor
     return cut(found.join(count, "h").groupBy("id", "k").agg(F.collect_list(F.struct("lo", "n", "h", "salts")).alias("at")))
 
 
 def compared(docs: DataFrame, again: DataFrame, length: int, gram: int, task_rows: int) -> DataFrame:
-    """(id, k, a, b, w, open): spans that occurred before, and windows (open, with hash w) that are still first within their salt. A checkpoint."""
+    """(id, k, a, b, w, open): spans that occurred before, and windows (open, with hash w) that are still first within their salt. A table in the shared
+    folder, in Parquet: a checkpoint's rows would take four times the room."""
     total = again.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
     picked = docs.withColumnRenamed("id", "id1").withColumnRenamed("k", "k1").join(again, F.col("id1").eqNullSafe(F.col("id")) & (F.col("k1") == F.col("k")))
     bucket = F.pmod(F.xxhash64("h", F.when(F.col("salts") > 1, F.pmod(F.col("k"), F.col("salts"))).otherwise(F.lit(0))), F.lit(max(1, -(-total // task_rows))))
@@ -218,7 +220,9 @@ def compared(docs: DataFrame, again: DataFrame, length: int, gram: int, task_row
         )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return cut(ctx.groupBy("bucket").applyInPandas(run, f"id {kind}, k long, a long, b long, w long, open boolean"))
+    path = shared_path(docs.sparkSession, "repeats")
+    ctx.groupBy("bucket").applyInPandas(run, f"id {kind}, k long, a long, b long, w long, open boolean").write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, task_rows: int = TASK_ROWS) -> DataFrame:
