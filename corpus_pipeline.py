@@ -2,7 +2,7 @@
 
 1. quality rules: documents that fail, or whose host is rejected, go;
 2. line dedup: later repeats of runs of 50 words or more go; documents that lose all their words go;
-3. SimHash near-dedup: one document of each class stays;
+3. near-dedup: one document of each class stays; classes link texts whose five-word shingles have a Jaccard similarity of at least 0.8;
 4. benchmark decontamination: contaminated documents go;
 5. byte-level BPE: documents are encoded, and decoded for a round-trip digest.
 """
@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe_codec, decontaminate, line_dedup, quality_rules, simhash
+from weftline.llm import bpe_codec, decontaminate, line_dedup, near_copies, quality_rules
 from weftline.llm.common import shared_path
 
 
@@ -26,7 +26,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("simhash near-dedup", near), ("decontamination", decontaminated), ("byte-level BPE", encoded)]
 
-#: SimHash classes can't be expressed in SQL; tests hold run() against a brute-force version.
+#: Classes of near copies can't be expressed in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 

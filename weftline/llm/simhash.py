@@ -232,7 +232,13 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """One row of each class, that of the least id (of rows with that id the one of least text); columns as they are.
 
     Rows of a null id can't be told apart and stay."""
-    found = cut(near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius, shard_rows=shard_rows))
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius, shard_rows=shard_rows)
+    return first_of_class(docs, found, id_col=id_col, text_col=text_col)
+
+
+def first_of_class(docs: DataFrame, found: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `docs` that keep_one keeps, from their classes (id, component_id)."""
+    found = cut(found)
     chosen = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n"))
     row = docs.select(F.struct("*").alias("d"))
     id_ = F.col("d")[id_col]
