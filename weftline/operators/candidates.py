@@ -1,7 +1,7 @@
 """Similarity search: steps against all nodes, texts against all functions.
 
 Steps are a stated query set and are broadcast; nodes are scanned once and never shuffled, and only k rows of each step and task leave the scan. Nothing is
-pre-filtered: every node is scored. Sets of steps beyond `block` are scored block by block.
+pre-filtered: every node is scored. Sets of steps beyond BLOCK are joined block by block, nodes scanned once a block, and ranked together.
 """
 
 from __future__ import annotations
@@ -17,11 +17,8 @@ BLOCK = 10_000
 
 
 def pairs(steps: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Every step beside every node; the step side is broadcast, its number of rows checked."""
-    n = steps.count()
-    if n > BLOCK:
-        raise ValueError(f"{n} steps; score at most {BLOCK} at once (see blocks)")
-    return nodes.join(F.broadcast(steps))
+    """Every step beside every node; the step side is broadcast, in blocks of about BLOCK rows."""
+    return blocks(steps, lambda part: nodes.join(F.broadcast(part)), BLOCK)
 
 
 def blocks(steps: DataFrame, search, block: int = BLOCK) -> DataFrame:
