@@ -2,7 +2,8 @@
 
 Words are labelled with languages. A word's emission scores come from hashed features: its affixes of 1 to 3 letters, its letter 2- and 3-grams,
 and the word itself if the lexicon (words seen in several training texts) has it. Transitions and start scores are learned with them by
-gradients of forward-backward. Sequences are the words of a line, at most `CHAIN` at a time. A text's language is the one with the highest mean
+gradients of forward-backward. Sequences are the words of a line, at most `CHAIN` at a time; longer runs
+of letters than REACH, as in scripts without spaces, count as several words. A text's language is the one with the highest mean
 posterior over its words, which is also its score, so code-switched text goes to the language of most of its words.
 
 Training takes a bounded, documented sample: of each language the `per_lang` texts of least id hash outside the held-out fifth; every word carries its
@@ -32,17 +33,24 @@ EPOCHS = 2
 BATCH = 64
 RATE = 0.4
 LEXICON = 20_000
-#: Letters of a word that features look at from either end; longer words' inner letters are not looked at.
+#: Letters of a chain element; a longer run of letters is cut into elements that overlap by two, so that no n-gram is lost.
 REACH = 24
 CHUNK = 1_000_000
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 SCHEMA = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
 
 
+def pieces(word: str) -> list[str]:
+    """The whole word, in elements of at most REACH letters."""
+    if len(word) <= REACH:
+        return [word]
+    return [word[i : i + REACH] for i in range(0, len(word) - 2, REACH - 2)]
+
+
 def chains(text: str | None) -> list[list[str]]:
     out = []
     for line in (text or "").lower().split("\n"):
-        words = WORD.findall(line)
+        words = [x for w in WORD.findall(line) for x in pieces(w)]
         out += [words[i : i + CHAIN] for i in range(0, len(words), CHAIN)]
     return out
 
@@ -50,11 +58,10 @@ def chains(text: str | None) -> list[list[str]]:
 def word_features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) pairs of distinct words, feature as a number below 1 << BITS."""
     n = len(words)
-    cut = [w if len(w) <= REACH else w[: REACH // 2] + w[-REACH // 2 :] for w in words]
-    size = np.fromiter(map(len, cut), np.int64, n)
+    size = np.fromiter(map(len, words), np.int64, n)
     width = int(size.max()) + 2
     codes = np.zeros((n, width), np.uint64)
-    flat = np.frombuffer("".join(cut).encode("utf-32-le", "surrogatepass"), np.uint32)
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
     at = np.arange(width)[None, :]
     codes[(at >= 1) & (at <= size[:, None])] = flat + 2
     codes[:, 0] = 1
