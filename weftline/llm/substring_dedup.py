@@ -194,13 +194,18 @@ def recurring(docs: DataFrame, length: int, gram: int, task_rows: int) -> DataFr
     return cut(found.join(count, "h").groupBy("id", "k").agg(F.collect_list(F.struct("lo", "n", "h", "salts")).alias("at")))
 
 
+def bucket(n: int):
+    """The task of a row, of n tasks. Salts come from the row's place, not its text alone: equal texts are spread, equal rows stay together."""
+    salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("id", "k", "lo"), F.col("salts"))).otherwise(F.lit(0))
+    return F.pmod(F.xxhash64("h", salt), F.lit(n))
+
+
 def compared(docs: DataFrame, again: DataFrame, length: int, gram: int, task_rows: int) -> DataFrame:
     """(id, k, a, b, w, open): spans that occurred before, and windows (open, with hash w) that are still first within their salt. A table in the shared
     folder, in Parquet: a checkpoint's rows would take four times the room."""
     total = again.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
     picked = docs.withColumnRenamed("id", "id1").withColumnRenamed("k", "k1").join(again, F.col("id1").eqNullSafe(F.col("id")) & (F.col("k1") == F.col("k")))
-    bucket = F.pmod(F.xxhash64("h", F.when(F.col("salts") > 1, F.pmod(F.col("k"), F.col("salts"))).otherwise(F.lit(0))), F.lit(max(1, -(-total // task_rows))))
-    ctx = contexts(picked.select("id", "k", "text", "at"), length, gram).withColumn("bucket", bucket)
+    ctx = contexts(picked.select("id", "k", "text", "at"), length, gram).withColumn("bucket", bucket(max(1, -(-total // task_rows))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "k", "lo"], na_position="first", kind="stable").drop_duplicates(["id", "k", "lo"]).reset_index(drop=True)
