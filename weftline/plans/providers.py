@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -56,8 +57,27 @@ CONTRACT = (
 )
 
 
+def merge_replies(replies: list[str]) -> str:
+    """One reply for several: the first intent, and all steps and dependencies in order. A single reply stays as it is."""
+    if len(replies) == 1:
+        return replies[0]
+    found = []
+    for r in replies:
+        low, high = r.find("{"), r.rfind("}")
+        if low < 0 or high < low:
+            raise ValueError("the reply holds no JSON object")
+        found.append(json.loads(r[low : high + 1]))
+    out = {"intent": next((x["intent"] for x in found if x.get("intent")), None)}
+    for c in ("explicit_steps", "inferred_steps", "dependencies"):
+        every = [e for x in found for e in x.get(c) or []]
+        out[c] = [e for i, e in enumerate(every) if e not in every[:i]]
+    return json.dumps(out)
+
+
 class HostedModel:
-    """Any chat endpoint behind `call(system, user, max_tokens, temperature) -> str`, asked from the executors, one prompt a call."""
+    """Any chat endpoint behind `call(system, user, max_tokens, temperature) -> str`, asked from the executors.
+
+    All of the context is sent, in order, in blocks of `context_rows` rows: one call for each prompt and block. Replies of several blocks are merged."""
 
     def __init__(self, call, token: str | None, max_tokens: int = 1000, temperature: float = 0.1, context_rows: int = 200):
         if not token:
@@ -65,12 +85,13 @@ class HostedModel:
         self.call, self.max_tokens, self.temperature, self.context_rows = call, max_tokens, temperature, context_rows
 
     def enrich(self, prompts: DataFrame, context: DataFrame | None = None) -> DataFrame:
-        known = "" if context is None else "\nKnown concepts:\n" + "\n".join(context.limit(self.context_rows).toJSON().collect())
+        rows = [] if context is None else context.orderBy(*context.columns).toJSON().collect()
+        known = ["" if context is None else "\nKnown concepts:\n" + "\n".join(rows[i : i + self.context_rows]) for i in range(0, max(1, len(rows)), self.context_rows)]
         call, limit, temperature = self.call, self.max_tokens, self.temperature
 
         def ask(parts):
             for pdf in parts:
-                yield pdf[["prompt_id"]].assign(reply=[call(CONTRACT, f"{t}{known}", limit, temperature) for t in pdf["text"]])
+                yield pdf[["prompt_id"]].assign(reply=[merge_replies([call(CONTRACT, f"{t}{k}", limit, temperature) for k in known]) for t in pdf["text"]])
 
         kind = prompts.schema["prompt_id"].dataType.simpleString()
         return prompts.select("prompt_id", "text").mapInPandas(ask, f"prompt_id {kind}, reply string")

@@ -76,4 +76,4 @@ def edges_of(edges: DataFrame | None, adjacency: DataFrame | None) -> DataFrame:
 
 def domain_context(nodes: DataFrame) -> DataFrame:
     """What a language model is told about nodes."""
-    return nodes.select(F.struct("id", "name", F.col("node_type").alias("type"), "description", "aliases").alias("context"))
+    return nodes.select(F.struct("id", "name", F.col("node_type").alias("type"), "types", "description", "aliases").alias("context"))
