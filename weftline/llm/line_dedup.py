@@ -1,4 +1,4 @@
-"""Line dedup by winnowing over line hashes, in DataFrame functions only.
+"""Line dedup by a join of all line windows (not winnowing, which would select some), in DataFrame functions only.
 
 Lines with a word are hashed. Windows are measured in words, so that one long line or many short ones weigh alike: from every line
 forward, and to every line backward, the window is the fewest consecutive lines that hold `min_words` words. Each window's least line
