@@ -27,7 +27,7 @@ from weftline.llm.bpe_codec import Codec
 from weftline.llm.token_counts import Counter
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
-CODEC = Codec(open(RANKS, "rb").read(), P.PATTERN, leaf=8)
+CODEC = Codec(open(RANKS, "rb").read(), P.PATTERN)
 TIK = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(r) for a, r in map(bytes.split, open(RANKS, "rb"))}, special_tokens={})
 COUNT = Counter(open(P.path("byte_bpe_50k.json"), "rb").read(), memo=50)
 TOK = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
@@ -50,9 +50,21 @@ def test_counts_are_the_library(text):
 
 def test_tree_joins_long_pieces():
     r = random.Random(0)
-    for n in (100, 1000, 5000):
-        s = "".join(r.choice("theinaros") for _ in range(n))
-        assert CODEC.encode(s) == TIK.encode_ordinary(s)
+    for n in (2, 9, 100, 1000, 5000):
+        for letters in ("theinaros", "a", "ab", "é中a"):
+            s = "".join(r.choice(letters) for _ in range(n))
+            assert CODEC.encode(s) == TIK.encode_ordinary(s)
+
+
+def test_every_piece_is_joined(data):
+    """Pre-tokens that are no whole rank go through the tree, as the query sets it."""
+    codec, joins = Codec(open(RANKS, "rb").read(), P.PATTERN), []
+    plain = codec.join
+    codec.join = lambda a, b: joins.append(len(a) + len(b)) or plain(a, b)
+    for t in pd.read_parquet(f"{data}/documents.parquet")["text"]:
+        assert codec.encode(t) == TIK.encode_ordinary(t or "")
+    inner = sum(p.encode() not in codec.ranks for p in codec.memo)
+    assert inner > 1000 and len(joins) >= inner
 
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
