@@ -6,7 +6,8 @@ import re
 
 import public_tokenizers as P
 import tiktoken
-from test_methods import contamination, plain_classes, plain_fingerprint
+from test_methods import contamination
+from test_near_copies import plain_first
 
 import corpus_pipeline
 
@@ -63,12 +64,8 @@ def lines(docs, least=50):
 
 
 def near(docs):
-    fps = {i: plain_fingerprint(t) for i, t, _ in docs}
-    classes = plain_classes(sorted(set(fps.values())))
-    first = {}
-    for i, v in sorted(fps.items()):
-        first.setdefault(classes[v], i)
-    return [d for d in docs if d[0] in set(first.values())]
+    first = plain_first([(i, t) for i, t, _ in docs])
+    return [d for d in docs if first[d[0]] == d[0]]
 
 
 def test_run(spark, data):

@@ -133,15 +133,63 @@ def plain_classes(values):
     return {v: find(v) for v in values}
 
 
-@pytest.mark.parametrize("shard_rows", [16_384, 60])
-def test_vantage_point_classes(spark, shard_rows):
-    rng = np.random.default_rng(0)
-    centres = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+def clustered(seed=0, centres=4, members=400, others=100):
+    rng = np.random.default_rng(seed)
+    mid = rng.integers(0, 1 << 63, centres, dtype=np.uint64)
     flips = lambda: sum(1 << b for b in set(rng.integers(0, 63, rng.integers(0, 8)).tolist()))
-    near = {signed(int(centres[rng.integers(4)]) ^ flips()) for _ in range(400)} | {signed(int(x)) for x in rng.integers(0, 1 << 63, 100, dtype=np.uint64)}
-    df = spark.createDataFrame(pd.DataFrame({"fp": sorted(near)}))
-    got = {r.node: r.root for r in S.components(S.links(df, shard_rows=shard_rows)).collect()}
-    assert {v: got.get(v, v) for v in near} == plain_classes(sorted(near))
+    near = {signed(int(mid[rng.integers(centres)]) ^ flips()) for _ in range(members)} | {signed(int(x)) for x in rng.integers(0, 1 << 63, others, dtype=np.uint64)}
+    return sorted(near | {0, 1, -1})
+
+
+# one tree for all; trees of many shards; longer keys; and rings and tiles where all levels are too full
+@pytest.mark.parametrize("bounds", [{}, {"tree_rows": 40}, {"shard_rows": 60}, {"shard_rows": 60, "levels": 2}, {"shard_rows": 20, "levels": 1}, {"tree_rows": 1, "levels": 3}])
+def test_vantage_point_classes(spark, bounds):
+    near = clustered()
+    df = spark.createDataFrame(pd.DataFrame({"fp": near}))
+    got = {r.node: r.root for r in S.components(S.links(df, leaf=4, **bounds)).collect()}
+    assert {v: got.get(v, v) for v in near} == plain_classes(near)
+
+
+def test_long_keys_are_reached(spark):
+    """More rows than one block's bits can tell apart start on a later level; every level is exact."""
+    near = clustered(3, centres=40, members=300)
+    df = spark.createDataFrame(pd.DataFrame({"fp": near}))
+    for level in (1, 2, 3, 4):
+        at = S.shards(df, level, 64, 3).toPandas()
+        ok = {tuple(sorted((a, b))) for _, g in at.groupby(["choice", "key"]) for a, b in itertools.combinations(g["fp"], 2)}
+        want = {(a, b) for a, b in itertools.combinations(near, 2) if bin((a ^ b) & (2**64 - 1)).count("1") <= 3}
+        assert want and want <= ok
+
+
+@pytest.mark.parametrize("radius", [3, 10, 21])
+def test_trees_split_and_prune(radius):
+    values = np.array(clustered(1, 3, 300, 900), np.int64).view(np.uint64)
+    seen = {}
+    member, root = S.local_stars(values, None, radius, 4, seen)
+    found = dict(zip(member.tolist(), root.tolist()))
+    want = {v: v for v in sorted(values.tolist())}
+    for a, b in itertools.combinations(sorted(want), 2):
+        if bin(a ^ b).count("1") <= radius:
+            x, y = a, b
+            while want[x] != x:
+                x = want[x]
+            while want[y] != y:
+                y = want[y]
+            want[max(x, y)] = min(x, y)
+
+    def top(v):
+        while want[v] != v:
+            v = want[v]
+        return v
+
+    assert {v: found.get(v, v) for v in want} == {v: top(v) for v in want}
+    if radius == 3:  # most of the pairs are never compared
+        assert seen["splits"] > 10 and seen["compared"] < len(values) ** 2 / 4
+    else:
+        assert seen.get("balls", 0) + seen.get("splits", 0) + seen.get("flat", 0) > 0
+    half = len(values) // 2
+    side = np.arange(len(values)) % 2
+    assert half and set(S.local_stars(values, side, radius, 4)[0].tolist()) <= set(member.tolist())
 
 
 def plain_removal(docs, size=100):

@@ -46,10 +46,18 @@ def texts(r):
     return [(i, t) for i, t in enumerate(out)] + [(1000, ""), (1001, None), (1002, "One two"), (1003, "one  two")]
 
 
-@pytest.mark.parametrize("tile", [N.TILE, 500])
-def test_classes_are_those_of_all_pairs(spark, tile):
+@pytest.mark.parametrize("bounds", [{}, {"tile": 500}, {"shard_rows": 4}])
+def test_classes_are_those_of_all_pairs(spark, bounds):
     docs = texts(random.Random(4))
-    got = N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), tile=tile).collect()
+    got = N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), **bounds).collect()
+    assert {tuple(r) for r in got} == set(plain_first(docs).items()) and len(got) == len(docs)
+
+
+def test_classes_of_the_documents(spark, data):
+    """Recall and precision against all pairs, on the table itself."""
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    docs = [tuple(r) for r in rows.collect()]
+    got = N.near_duplicates(rows).collect()
     assert {tuple(r) for r in got} == set(plain_first(docs).items()) and len(got) == len(docs)
 
 

@@ -1,8 +1,12 @@
-"""Near copies by word shingles: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8 are linked; classes are connected components.
+"""SimHash near-duplicates for the pipeline: simhash.py's trees at a wide radius, with an exact check of similarity behind them.
 
-1. Texts become sets of 64-bit shingle hashes (words as in simhash.py). Texts with equal sets are one node.
-2. Candidates: min-hashes in BANDS bands of ROWS. Nodes that agree in a band share a cluster (components over stars of bands). A pair at exactly 0.8
-   shares no band with probability (1 - 0.8^4)^48 = 1e-11, a closer one with less; so clusters hold all links, and no pair is ever judged by its min-hashes.
+Texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8 are linked; classes are connected components.
+
+1. Texts become sets of 64-bit shingle hashes (words as in simhash.py) and fingerprints of those sets. Texts with equal sets are one node.
+2. Candidates: a pair at 0.8 differs in about 10 of 64 bits, give or take 3, so RADIUS lets less than one in 10,000 such pairs go, and fewer of closer ones.
+   At that radius blocks of the word can't be shard keys. Shards are keyed by min-wise hashes instead, BANDS bands of ROWS: a pair at 0.8 shares no shard with
+   probability (1 - 0.8^4)^48 = 1e-11. In each shard a vantage-point tree links fingerprints within the radius; a shard with more than `shard_rows`
+   fingerprints is one class of candidates as it is. Components over these links are clusters that hold all links.
 3. Links: inside a cluster shingle sets are compared exactly. A search from each node over those not yet reached finds the components without visiting
    pairs that are united already. A cluster with more than `tile` shingles is tiled: its nodes are salted, and every two salts meet in one task.
 4. Components over the links are the classes.
@@ -20,16 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_texts, workers
-from .simhash import _TABLE, components, first_of_class
+from .simhash import SHARD_ROWS, components, few, first_of_class, majority, shingle_hashes, tree_stars
 
 SHINGLE = 5
 #: Least similarity as a fraction, so that it is compared in whole numbers.
 SIMILAR = (4, 5)
+#: Differing bits of fingerprints that are compared.
+RADIUS = 21
 BANDS = 48
 ROWS = 4
 #: Shingles that one tile of a cluster holds.
 TILE = 400_000
-SCHEMA = pa.schema([("sid", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
+SCHEMA = pa.schema([("sid", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 _RNG = np.random.default_rng(20240511)
 _XOR = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64)
@@ -38,15 +44,7 @@ _MUL = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; a shorter text is one shingle."""
-    words = text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-    starts = [0, *ends]
-    ends = ends[shingle - 1 :] or ends[-1:]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a : b - 1], 42) for a, b in zip(starts, ends)), np.uint64, len(ends)))
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def bands_of(found: np.ndarray) -> np.ndarray:
@@ -93,13 +91,25 @@ def linked(sets: list[np.ndarray], similar: tuple[int, int] = SIMILAR) -> tuple[
     return order[member] if member else order[:0], order[root] if root else order[:0]
 
 
-def links(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, shingle: int, tile: int) -> DataFrame:
-    """Edges (src, dst) that span the classes. nodes: sid, size, bands, rep (id and text hash of one text)."""
-    at = nodes.select("sid", F.explode("bands").alias("key"))
-    groups = at.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("key", "low")
-    clusters = components(at.join(groups, "key").where("sid <> low").select(F.col("sid").alias("src"), F.col("low").alias("dst")))
-    roots = clusters.select("node", "root").union(clusters.select("root", "root").distinct())
-    members = cut(roots.join(nodes.select("sid", "size", "rep"), F.col("node") == F.col("sid")).select("sid", "root", "size", "rep"))
+def candidates(nodes: DataFrame, *, radius: int, shard_rows: int) -> DataFrame:
+    """(sid, root) of the nodes that have candidates, by cluster."""
+    at = nodes.where("size > 0").select("fp", F.explode("bands").alias("key")).distinct()
+    count = cut(at.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low")).where("n > 1"))
+    big = count.where(F.col("n") > shard_rows).select("key", "low")
+    shared = at.join(count.where(F.col("n") <= shard_rows).select("key"), "key").select(F.lit(0).alias("choice"), "key", "fp")
+    edges = tree_stars(shared, radius, shard_rows)
+    if not big.isEmpty():
+        edges = edges.unionByName(at.join(few(big), "key").where("fp <> low").select(F.col("fp").alias("src"), F.col("low").alias("dst")))
+    roots = components(edges)
+    named = nodes.where("size > 0").select("sid", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("sid", F.coalesce("root", "fp").alias("root"))
+    crowd = named.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    return named.join(crowd, "root").select("sid", "root")
+
+
+def links(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, shingle: int, tile: int, radius: int, shard_rows: int) -> DataFrame:
+    """Edges (src, dst) that span the classes. nodes: sid, size, fp, bands, rep (id and text hash of one text)."""
+    roots = candidates(nodes, radius=radius, shard_rows=shard_rows)
+    members = cut(roots.join(nodes.select("sid", "size", "rep"), "sid"))
     load = members.groupBy("root").agg(F.ceil(F.sum("size") / tile).cast("int").alias("tiles"))
     width = max(1, 4 * int(members.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]) // tile)
     members = members.join(load, "root").withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
@@ -125,19 +135,19 @@ def links(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, shin
     return sets.groupBy("bucket", "big", "tile_a", "tile_b").applyInPandas(run, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, tile: int = TILE, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Return id, component_id for every row of `docs`."""
     workers(docs.sparkSession)
 
     def run(texts):
         sets = [shingle_set(t, shingle) for t in texts]
-        return {"sid": [xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63) for s in sets], "size": [len(s) for s in sets], "bands": [bands_of(s) if len(s) else [] for s in sets]}
+        return {"sid": [xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63) for s in sets], "size": [len(s) for s in sets], "fp": [majority(s) for s in sets], "bands": [bands_of(s) if len(s) else [] for s in sets]}
 
     source = docs.withColumn("_k", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    at = cut(map_texts(source, run, SCHEMA, "sid long, size long, bands array<long>", keep=(id_col, "_k"), text_col=text_col))
+    at = cut(map_texts(source, run, SCHEMA, "sid long, size long, fp long, bands array<long>", keep=(id_col, "_k"), text_col=text_col))
     rep = F.min(F.struct(F.col(id_col).alias("id"), F.col("_k").alias("k"))).alias("rep")
-    nodes = cut(at.groupBy("sid").agg(F.min(id_col).alias("low"), F.first("size").alias("size"), rep, F.first("bands").alias("bands")))
-    roots = components(links(docs, nodes, id_col=id_col, text_col=text_col, shingle=shingle, tile=tile))
+    nodes = cut(at.groupBy("sid").agg(F.min(id_col).alias("low"), F.first("size").alias("size"), F.first("fp").alias("fp"), rep, F.first("bands").alias("bands")))
+    roots = components(links(docs, nodes, id_col=id_col, text_col=text_col, shingle=shingle, tile=tile, radius=radius, shard_rows=shard_rows))
     named = nodes.join(roots, nodes["sid"] == roots["node"], "left").select("sid", "low", F.coalesce("root", "sid").alias("root"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_set = named.join(least, "root").select("sid", "component_id")
