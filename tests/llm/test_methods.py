@@ -7,6 +7,7 @@ import random
 import re
 from zlib import crc32
 
+import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers as P
@@ -16,10 +17,12 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import same
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from weftline.llm import decontaminate as W
 from weftline.llm import language_id as L
+from weftline.llm import line_dedup
 from weftline.llm import queries as Q
 from weftline.llm import simhash as S
 from weftline.llm import substring_dedup as B
@@ -192,6 +195,32 @@ def test_trees_split_and_prune(radius):
     assert half and set(S.local_stars(values, side, radius, 4)[0].tolist()) <= set(member.tolist())
 
 
+def test_winnowing_selects_fewer_lines(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    found = docs.select("doc_id", F.explode(line_dedup.fingerprints(F.col("text"), line_dedup.MIN_WORDS)).alias("f")).select("doc_id", "f.*")
+    lines = sum(1 for r in docs.select("text").collect() for x in (r.text or "").split("\n") if x.strip())
+    n, windows = found.agg(F.count("*"), F.sum(F.size("wins"))).first()
+    assert 0 < n < lines and n < windows
+
+
+def test_hot_lines_and_repeats_within(spark):
+    r = random.Random(8)
+    line = lambda n: " ".join(r.choice("abcdefg") * 3 + str(r.randint(0, 9)) for _ in range(n))
+    hot, block = line(12), [line(r.randint(1, 30)) for _ in range(9)]
+    docs = []
+    for i in range(60):
+        own = [line(r.randint(0, 40)) for _ in range(r.randint(0, 6))]
+        at, n = r.randint(0, 6), r.randint(1, 9)
+        docs.append((i, "\n".join([hot, *own, *block[at : at + n], hot, "", *block[at : at + n], hot, *[hot] * r.randint(0, 9)])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x.doc_id: x.kept for x in line_dedup.dedup_lines(df).collect()}
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    sql = {a: (n, h) for a, _, n, h in con.execute(line_dedup.oracle()).fetchall()}
+    assert sum(n for n, _ in sql.values()) > 100
+    assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in got.items()} == {i: h for i, (_, h) in sql.items()}
+
+
 def plain_removal(docs, size=100):
     seen, out = set(), {}
     for i, t in sorted(docs, key=lambda x: x[0]):

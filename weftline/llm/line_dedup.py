@@ -1,11 +1,12 @@
-"""Line dedup by a join of all line windows (not winnowing, which would select some), in DataFrame functions only.
+"""Line dedup by winnowing over line hashes, in DataFrame functions only.
 
 Lines with a word are hashed. Windows are measured in words, so that one long line or many short ones weigh alike: from every line
-forward, and to every line backward, the window is the fewest consecutive lines that hold `min_words` words. Each window's least line
-hash is its anchor; anchor and content hash are its fingerprint. Whatever run of `min_words` words or more is found twice holds
-a window that is selected in both places, so every such run is caught. Positions are joined to the first position of the
-same fingerprint, matches are extended both ways by uniting the forward and backward windows that match, and later runs are
-deleted, with the blank lines inside them.
+forward, and to every line backward, the window is the fewest consecutive lines that hold `min_words` words. Each window selects the
+leftmost of its least line hashes as fingerprint; neighbouring windows mostly select the same line, so there are fewer fingerprints than lines.
+A run of `min_words` words or more that is found twice selects the same lines in both places, so every such run is caught.
+Positions of fingerprints that recur are joined by hash. From each the match is extended both ways: the windows around it that selected it are compared
+with those around the others, by two 64-bit hashes of their lines beside the fingerprint's own. Windows that are equal to an earlier one unite to
+the later runs, which are deleted with the blank lines inside them. No pairs of positions are formed, so a hot line costs what its rows cost.
 
 Documents are ordered by (doc_id, text hash), nulls first; rows equal in both are the same document and get the same result. Only the
 first place of a run stays, be it in an earlier document or earlier in the same one. Null texts have no lines and stay null. An empty
@@ -23,13 +24,14 @@ from .quality_rules import SPACES, let, words_of
 MIN_WORDS = 50
 
 
-def windows_of(text: Column, min_words: int) -> Column:
-    """Array of (a, b, anchor, content): first and last line of a window and its fingerprint."""
+def fingerprints(text: Column, min_words: int) -> Column:
+    """Array of (anchor, wins): the hash of a selected line and the windows (a, b, one, two) that selected it, as first and last line and two hashes."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
     units = F.filter(
-        F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), F.least(F.size(words_of(x)), F.lit(min_words)).alias("w"))),
+        F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), F.least(F.size(words_of(x)), F.lit(min_words)).alias("w"), x.alias("x"))),
         lambda u: u["w"] > 0,
     )
+    wide = F.lit(min_words + 1)  # a window is k * wide + n: from unit k on, n units
 
     def reach(ws: Column) -> Column:
         """How many of the given weights reach min_words; 0 if all don't."""
@@ -42,33 +44,56 @@ def windows_of(text: Column, min_words: int) -> Column:
         return F.when(F.get(ws, F.lit(0)) >= min_words, F.lit(1)).otherwise(got)
 
     def both(us: Column, hs: Column, ws: Column) -> Column:
-        ahead = F.transform(us, lambda u, k: F.struct(k.alias("k"), reach(F.slice(ws, k + 1, min_words)).alias("n")))
+        ahead = F.transform(us, lambda u, k: let(reach(F.slice(ws, k + 1, min_words)), lambda n: F.when(n > 0, k * wide + n).otherwise(-1)))
         low = lambda k: F.greatest(k - (min_words - 1), F.lit(0))
-        back = F.transform(us, lambda u, k: let(reach(F.reverse(F.slice(ws, low(k) + 1, k - low(k) + 1))), lambda n: F.struct((k - n + 1).alias("k"), n.alias("n"))))
-        spans = F.array_distinct(F.filter(F.concat(ahead, back), lambda s: s["n"] > 0))
-        return F.transform(
-            spans,
-            lambda s: let(
-                F.slice(hs, s["k"] + 1, s["n"]),
-                lambda part: F.struct(
-                    F.get(us, s["k"])["i"].alias("a"),
-                    F.get(us, s["k"] + s["n"] - 1)["i"].alias("b"),
-                    F.array_min(part).alias("anchor"),
-                    F.xxhash64(part).alias("content"),
+        back = F.transform(us, lambda u, k: let(reach(F.reverse(F.slice(ws, low(k) + 1, k - low(k) + 1))), lambda n: F.when(n > 0, (k - n + 1) * wide + n).otherwise(-1)))
+        # in this order both ends of windows only move on, and so does the selected line
+        spans = F.sort_array(F.array_distinct(F.filter(F.concat(ahead, back), lambda s: s > 0)))
+        return let(F.transform(spans, lambda s: selected(us, hs, F.floor(s / wide).cast("int"), (s % wide).cast("int"))), grouped)
+
+    def selected(us: Column, hs: Column, k: Column, n: Column) -> Column:
+        return let(
+            F.slice(hs, k + 1, n),
+            lambda part: F.struct(
+                (k + F.array_position(part, F.array_min(part)).cast("int") - 1).alias("at"),
+                F.array_min(part).alias("anchor"),
+                F.struct(
+                    F.get(us, k)["i"].alias("a"),
+                    F.get(us, k + n - 1)["i"].alias("b"),
+                    F.xxhash64(part).alias("one"),
+                    F.xxhash64(F.lit(1), F.transform(F.slice(us, k + 1, n), lambda u: u["x"])).alias("two"),
+                ).alias("win"),
+            ),
+        )
+
+    def grouped(found: Column) -> Column:
+        """Windows by the place of the line that they selected; equal places are neighbours."""
+        new = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda j: (j == 0) | (F.get(found, j)["at"] != F.get(found, F.greatest(j - 1, F.lit(0)))["at"]))
+        parts = let(
+            new,
+            lambda starts: F.transform(
+                starts,
+                lambda j, x: F.struct(
+                    F.get(found, j)["anchor"].alias("anchor"),
+                    F.transform(F.slice(found, j + 1, F.coalesce(F.get(starts, x + 1), F.size(found)) - j), lambda f: f["win"]).alias("wins"),
                 ),
             ),
         )
+        return F.when(F.size(found) > 0, parts)
 
     return let(units, lambda us: let(F.transform(us, lambda u: u["h"]), lambda hs: let(F.transform(us, lambda u: u["w"]), lambda ws: both(us, hs, ws))))
 
 
 def _later(rows: DataFrame, id_: Column, text: Column, min_words: int) -> DataFrame:
     """For each document (id, th) with deletions the spans of lines that go."""
-    found = rows.select(id_.alias("id"), F.xxhash64(text).alias("th"), F.explode(windows_of(text, min_words)).alias("w"))
-    found = cut(found.select("id", "th", "w.*"))
-    here = F.struct("id", "th", "a")
-    first = found.groupBy("anchor", "content").agg(F.min(here).alias("first"), F.max(here).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
-    later = found.join(first.drop("last"), ["anchor", "content"]).where(~here.eqNullSafe(F.col("first")))
+    found = rows.select(id_.alias("id"), F.xxhash64(text).alias("th"), F.explode(fingerprints(text, min_words)).alias("f"))
+    found = cut(found.select("id", "th", "f.*"))
+    # counts and first places are join sides of their own, so that Spark can split the rows of a hot line
+    again = cut(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+    near = found.join(again, "anchor").select("id", "th", "anchor", F.explode("wins").alias("w")).select("id", "th", "anchor", "w.*")
+    here, key = F.struct("id", "th", "a"), ["anchor", "one", "two"]
+    first = cut(near.groupBy(*key).agg(F.min(here).alias("first"), F.max(here).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last"))
+    later = near.join(first, key).where(~here.eqNullSafe(F.col("first")))
     return later.groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
