@@ -43,15 +43,15 @@ def fingerprints(text: Column, min_words: int) -> Column:
         )
         return F.when(F.get(ws, F.lit(0)) >= min_words, F.lit(1)).otherwise(got)
 
-    def both(us: Column, hs: Column, ws: Column) -> Column:
+    def both(us: Column, hs: Column, ws: Column, xs: Column) -> Column:
         ahead = F.transform(us, lambda u, k: let(reach(F.slice(ws, k + 1, min_words)), lambda n: F.when(n > 0, k * wide + n).otherwise(-1)))
         low = lambda k: F.greatest(k - (min_words - 1), F.lit(0))
         back = F.transform(us, lambda u, k: let(reach(F.reverse(F.slice(ws, low(k) + 1, k - low(k) + 1))), lambda n: F.when(n > 0, (k - n + 1) * wide + n).otherwise(-1)))
         # in this order both ends of windows only move on, and so does the selected line
         spans = F.sort_array(F.array_distinct(F.filter(F.concat(ahead, back), lambda s: s > 0)))
-        return let(F.transform(spans, lambda s: selected(us, hs, F.floor(s / wide).cast("int"), (s % wide).cast("int"))), grouped)
+        return let(F.transform(spans, lambda s: selected(us, hs, xs, ((s - s % wide) / wide).cast("int"), s % wide)), grouped)
 
-    def selected(us: Column, hs: Column, k: Column, n: Column) -> Column:
+    def selected(us: Column, hs: Column, xs: Column, k: Column, n: Column) -> Column:
         return let(
             F.slice(hs, k + 1, n),
             lambda part: F.struct(
@@ -61,7 +61,7 @@ def fingerprints(text: Column, min_words: int) -> Column:
                     F.get(us, k)["i"].alias("a"),
                     F.get(us, k + n - 1)["i"].alias("b"),
                     F.xxhash64(part).alias("one"),
-                    F.xxhash64(F.lit(1), F.transform(F.slice(us, k + 1, n), lambda u: u["x"])).alias("two"),
+                    F.xxhash64(F.lit(1), F.slice(xs, k + 1, n)).alias("two"),
                 ).alias("win"),
             ),
         )
@@ -81,7 +81,7 @@ def fingerprints(text: Column, min_words: int) -> Column:
         )
         return F.when(F.size(found) > 0, parts)
 
-    return let(units, lambda us: let(F.transform(us, lambda u: u["h"]), lambda hs: let(F.transform(us, lambda u: u["w"]), lambda ws: both(us, hs, ws))))
+    return let(units, lambda us: let(F.transform(us, lambda u: u["h"]), lambda hs: let(F.transform(us, lambda u: u["w"]), lambda ws: let(F.transform(us, lambda u: u["x"]), lambda xs: both(us, hs, ws, xs)))))
 
 
 def _later(rows: DataFrame, id_: Column, text: Column, min_words: int) -> DataFrame:
