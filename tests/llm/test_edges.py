@@ -144,7 +144,7 @@ def test_many_blocks_of_items(spark, bench):
     d = spark.createDataFrame(rows, DDL)
     items = spark.createDataFrame([(i, " ".join(f"t{j}" for j in range(3 * i, 3 * i + 14))) for i in range(12)], "item_id long, text string")
     one = decontaminate.with_verdict(decontaminate.find_contamination(d, items))
-    many = decontaminate.with_verdict(decontaminate.find_contamination(d, items, block_bytes=10))
+    many = decontaminate.with_verdict(decontaminate.find_contamination(d, items, pass_bytes=200))
     pick = lambda x: sorted(tuple(r) for r in x.select("doc_id", "n_words", "n_hit", "contaminated", F.array_join("items", ",")).collect())
     assert pick(one) == pick(many)
-    assert sorted(r.doc_id for r in decontaminate.clean_documents(d, items, block_bytes=10).collect()) == sorted(r.doc_id for r in decontaminate.clean_documents(d, items).collect())
+    assert sorted(r.doc_id for r in decontaminate.clean_documents(d, items, pass_bytes=200).collect()) == sorted(r.doc_id for r in decontaminate.clean_documents(d, items).collect())

@@ -101,6 +101,22 @@ def test_wu_manber(seed):
         assert (n, sum(spans[1::2]) - sum(spans[::2]), who) == contamination(t, items)
 
 
+def test_long_items_are_cut_without_loss():
+    r = random.Random(6)
+    text = " ".join("".join(r.choice("abc") for _ in range(r.randint(1, 5))) for _ in range(900))
+    parts = W.pieces(text, 600, 13)
+    windows = lambda t: {tuple(t.split()[i : i + 13]) for i in range(len(t.split()) - 12)}
+    assert len(parts) > 3 and set().union(*map(windows, parts)) == windows(text) and all(len(p.split()) >= 13 for p in parts)
+    assert W.pieces(None, 10, 13) == [None] and W.pieces("a b", 100, 13) == ["a b"]
+
+
+def test_equal_patterns_are_one():
+    same = " ".join(f"w{i}" for i in range(20))
+    (m,) = W.build([(str(i), same) for i in range(50)])
+    assert len(m.starts) == 8 and len(m.owner) == 400
+    assert W.scan("x " + same, [m])[1:] == ([1, 21], sorted(map(str, range(50))))
+
+
 def plain_fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     if not w:

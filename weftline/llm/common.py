@@ -18,9 +18,11 @@ BROADCAST_BYTES = 64 << 20
 _PER_PROCESS: dict = {}
 
 
-def per_process(key, build: Callable):
-    """Build a value once in each Python worker; the last few keys stay."""
+def per_process(key, build: Callable, alone: bool = False):
+    """Build a value once in each Python worker; the last few keys stay. A large value can ask to be alone: others whose key starts alike go first."""
     if key not in _PER_PROCESS:
+        for k in [k for k in _PER_PROCESS if alone and k[0] == key[0]]:
+            _PER_PROCESS.pop(k)
         while len(_PER_PROCESS) >= 8:
             _PER_PROCESS.pop(next(iter(_PER_PROCESS)))
         _PER_PROCESS[key] = build()
