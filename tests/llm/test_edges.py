@@ -132,6 +132,19 @@ def test_bad_templates_are_blocked(spark):
     assert got == {("/good/*", "allow"), ("/bad/*", "block")}
 
 
+def test_bad_sections_of_any_share_and_depth_are_blocked(spark):
+    """Among 40 good sections one bad one, and a bad branch below the seventh segment; a very long url and one of 300 segments."""
+    rows = [(i, f"x://h.net/s{i % 40}/p{i}") for i in range(4000)]
+    rows += [(5000 + i, f"x://d.net/a/b/c/d/e/f/{'bad' if i % 2 else 'good'}/{i}") for i in range(200)]
+    rows += [(6000, "x://long.net/" + "y" * 200_000), (6001, "x://deep.net" + "/z" * 300), (6002, "x://deep.net" + "/z" * 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    bad = ((F.col("page_id") < 4000) & (F.col("page_id") % 40 == 7)) | ((F.col("page_id") >= 5000) & (F.col("page_id") % 2 == 1))
+    labels = pages.where("page_id < 6000").select(F.col("page_id").alias("doc_id"), (~bad).cast("int").alias("quality"))
+    got = {r.page_id: r for r in url_filter.judge(pages, labels).collect()}
+    assert {r.template for r in got.values() if r.verdict == "block"} == {"/s7/*", "/a/b/c/d/e/f/bad/*"}
+    assert all((got[i].verdict == "block") == (i % 40 == 7) for i in range(4000)) and got[6001].template == "/z" * 300
+
+
 def test_bad_hosts_are_rejected(spark):
     good = " ".join(f"w{i}" for i in range(40))
     rows = [(i, "short" if i % 10 else good, "en", "bad", 1) for i in range(50)] + [(100 + i, good + str(i), "en", f"g{i % 3}", 1) for i in range(60)]

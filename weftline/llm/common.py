@@ -113,6 +113,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: A key with more rows is hot: there are at most as many hot keys as the table has rows, divided by this.
+HOT_ROWS = 1_000_000
+
+
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], count: str, hot: int = HOT_ROWS) -> DataFrame:
+    """Inner join with `small`, which has one row a key and the key's rows in `big` as `count`. Rows of hot keys meet a broadcast side and are not shuffled."""
+    small = cut(small)
+    lots = small.where(F.col(count) > hot)
+    plain = small.where(F.col(count) <= hot).drop(count)
+    n = lots.count()
+    if not n or n > 100_000:
+        return big.join(small.drop(count), keys)
+    lots = F.broadcast(lots.drop(count))
+    return big.join(lots, keys).unionByName(big.join(lots, keys, "left_anti").join(plain, keys))
+
+
 def shuffle_width(df: DataFrame) -> int:
     """Partitions of the next shuffle, as the session is set."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
