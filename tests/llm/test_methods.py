@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 from zlib import crc32
@@ -23,6 +24,7 @@ from tokenizers import Tokenizer
 from weftline.llm import decontaminate as W
 from weftline.llm import language_id as L
 from weftline.llm import line_dedup
+from weftline.llm import quality_model as M
 from weftline.llm import queries as Q
 from weftline.llm import simhash as S
 from weftline.llm import substring_dedup as B
@@ -292,6 +294,65 @@ def test_code_switched_lines():
     assert [g[0] for g in got] == ["en", "de", "und", "und"] and 0.6 < got[0][1] < 0.9
 
 
+def test_switches_within_a_line():
+    en, de = "the and that with from".split(), "der und nicht mit von".split()
+    r = random.Random(2)
+    line = lambda v, n: " ".join(r.choice(v) for _ in range(n))
+    m = L.Model(["de", "en"], {})
+    m.train([(L.chains("\n".join(line(v, 8) for _ in range(4))), y) for _ in range(60) for y, v in enumerate((de, en))])
+    stay = np.diag(m.move).mean() - (m.move.sum() - np.trace(m.move)) / 2
+    assert 0 < stay < 20  # words mostly stay in a language, but switches are learned from
+    text = line(en, 500) + " " + line(de, 500)
+    got = m.tag(text)
+    assert len(got) == 1000 and [w for w, _, _ in got] == text.split()
+    assert sum(x == ("en" if i < 500 else "de") for i, (_, x, _) in enumerate(got)) > 990
+    assert m.tag(None) == [] and m.predict([text])[0][1] < 0.6
+
+
+def test_batches_change_no_posterior(monkeypatch):
+    r = random.Random(4)
+    texts = ["\n".join(" ".join(r.choice(["the", "der", "xyz" * 20]) for _ in range(r.choice([1, 5, 300]))) for _ in range(6)) for _ in range(5)]
+    m = L.Model(["de", "en"], {})
+    m.train([(L.chains(t), i % 2) for i, t in enumerate(texts)])
+    one = m.predict(texts)
+    monkeypatch.setattr(L, "CELLS", 10)
+    assert [a for a, _ in m.predict(texts)] == [a for a, _ in one] and np.allclose([b for _, b in m.predict(texts)], [b for _, b in one])
+
+
+def test_no_language_is_left_out(monkeypatch, spark):
+    monkeypatch.setattr(L, "SAMPLE", 6)
+    rows = [(i, f"{chr(97 + i % 6) * 5} " * 4, f"l{i % 6}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert L.fit(docs).langs == [f"l{i}" for i in range(6)]
+
+
+def test_ftrl_against_a_plain_version():
+    r = random.Random(9)
+    rows = [(" ".join(r.choice(["good", "bad", "word", "Xx", "7!"]) for _ in range(r.randint(0, 30))), i % 2) for i in range(30)] + [(None, 1)]
+    got = M.train(rows, 2)
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= M.L1 else -(zi - math.copysign(M.L1, zi)) / ((M.BETA + math.sqrt(n.get(i, 0.0))) / M.ALPHA + M.L2)
+
+    for _ in range(2):
+        for text, y in rows:
+            f = M.features(text, M.Words()).tolist()
+            x = {i: f.count(i) * M.SCALE / max(1, len(f)) for i in set(f)} | {0: 1.0}
+            p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+            w = {i: weight(i) for i in x}
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / M.ALPHA * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    assert {i for i, w in enumerate(got) if w} <= set(z) and np.allclose([got[i] for i in z], [weight(i) for i in z], atol=1e-6)
+    for text, _ in rows:
+        f = M.features(text, M.Words()).tolist()
+        dot = weight(0) + sum(weight(i) * M.SCALE / len(f) for i in f)
+        assert abs(M.score(text, got, M.Words()) - 1 / (1 + math.exp(-dot))) < 1e-6
+
+
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_query_matches_sql(spark, data, name):
     same(spark, data, Q.queries()[name], Q.oracle_sql()[name])

@@ -4,7 +4,8 @@ Features are n-grams of two views of the words: the words as they are (1- and 2-
 cases of letters, digits and the punctuation at the end, and whether the word repeats one of the two before it. Counts are hashed to a fixed number
 of weights and divided by their total, so long and short texts weigh alike. A score is the sparse dot product through a sigmoid.
 
-Training takes a bounded, documented sample: of labelled rows outside the held-out fifth the `sample` ones of least id hash. Only their labels
+Training takes a bounded, documented sample: of labelled rows outside the held-out fifth the `sample` ones of least id hash, and of these as many as hold
+SAMPLE_BYTES of text. Only their labels
 and texts are learned from. Null and empty texts have the bias alone. Null ids are scored, never learned from; several labels of one id count by
 majority (ties as 1). Repeated rows get equal scores. Without labels every score is 0.5. Empty tables give empty tables.
 """
@@ -17,13 +18,14 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_bytes, held_out, map_texts, per_process, workers
 
 BITS = 18
 SAMPLE = 4096
+SAMPLE_BYTES = 64 << 20
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 SCALE = 8.0
@@ -36,7 +38,7 @@ _FOLD = [(re.compile(p), s) for p, s in ((r"[^\W\d_a-zà-öø-ÿœß]+", "A"), (
 def shape(word: str) -> str:
     for p, s in _FOLD:
         word = p.sub(s, word)
-    return word[:12]
+    return word
 
 
 class Words(dict):
@@ -111,6 +113,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, label_col:
     chosen = marked.groupBy(labels["doc_id"].alias("id")).agg(y.alias("y")).orderBy(*order).limit(sample)
     texts = docs.select(docs["doc_id"].alias("id"), docs["text"].alias("text"))
     rows = texts.join(F.broadcast(chosen), "id").orderBy(*order, "text").limit(sample)
+    upto = Window.orderBy(*order, "text").rowsBetween(Window.unboundedPreceding, 0)  # over `sample` rows at most
+    total = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(upto)
+    rows = rows.withColumn("total", total).where((F.col("total") <= SAMPLE_BYTES) | (F.col("total") == F.octet_length("text"))).drop("total")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "id", "text"])
