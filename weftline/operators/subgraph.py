@@ -20,21 +20,23 @@ def is_executable(executable: Column) -> Column:
 def split_actions(actions: DataFrame, nodes: DataFrame) -> DataFrame:
     """Candidates of each action split in supported and unsupported; an action is invalid if it has some, but none supported.
 
-    actions: ordinal, prompt_node_id, prompt_text, candidates (domain_node_id, domain_node_name, similarity); nodes: id, executable."""
-    flat = actions.select("ordinal", "prompt_node_id", F.posexplode_outer("candidates").alias("rank", "c"))
+    actions: ordinal, prompt_node_id, prompt_text, candidates (domain_node_id, domain_node_name, similarity), prompt_id if there are several plans; nodes: id, executable."""
+    keys = [c for c in ("prompt_id", "ordinal", "prompt_node_id") if c in actions.columns]
+    flat = actions.select(*keys, F.posexplode_outer("candidates").alias("rank", "c"))
     n = nodes.select(F.col("id").alias("_id"), is_executable(F.col("executable")).alias("_x"))
     ok = flat.join(n, F.col("c.domain_node_id") == F.col("_id"), "left").withColumn("ok", F.coalesce("_x", F.lit(False)))
     side = lambda keep: F.transform(F.array_sort(F.collect_list(F.when(F.col("c").isNotNull() & keep, F.struct("rank", "c")))), lambda x: x["c"])
-    out = ok.groupBy("ordinal", "prompt_node_id").agg(side(F.col("ok")).alias("supported"), side(~F.col("ok")).alias("unsupported"))
+    out = ok.groupBy(*keys).agg(side(F.col("ok")).alias("supported"), side(~F.col("ok")).alias("unsupported"))
     return out.withColumn("invalid", (F.size("unsupported") > 0) & (F.size("supported") == 0))
 
 
 def candidate_pairs(split: DataFrame) -> DataFrame:
     """Candidates of consecutive actions that have any, each with each, but no node with itself."""
+    by = [c for c in ("prompt_id",) if c in split.columns]
     kept = split.where(F.size("supported") > 0)
-    at = kept.withColumn("next", F.lead("supported").over(Window.orderBy("ordinal"))).where("next IS NOT NULL")
-    pairs = at.select("ordinal", F.posexplode("supported").alias("i", "a"), "next").select("ordinal", "i", F.col("a.domain_node_id").alias("source"), F.posexplode("next").alias("j", "b"))
-    return pairs.select("ordinal", "i", "j", "source", F.col("b.domain_node_id").alias("target")).where("source <> target")
+    at = kept.withColumn("next", F.lead("supported").over(Window.partitionBy(*by or [F.lit(0)]).orderBy("ordinal"))).where("next IS NOT NULL")
+    pairs = at.select(*by, "ordinal", F.posexplode("supported").alias("i", "a"), "next").select(*by, "ordinal", "i", F.col("a.domain_node_id").alias("source"), F.posexplode("next").alias("j", "b"))
+    return pairs.select(*by, "ordinal", "i", "j", "source", F.col("b.domain_node_id").alias("target")).where("source <> target")
 
 
 def reconnect(edges: DataFrame, sub_nodes: DataFrame, sub_edges: DataFrame, pairs: DataFrame, by: str, max_path: int = MAX_PATH) -> tuple[DataFrame, DataFrame, list[dict]]:

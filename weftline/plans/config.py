@@ -19,7 +19,7 @@ class Config:
     node_threshold: float = 0.35
     radius: int = 1
     max_path_length: int = 4
-    batch_size: int = 500
+    batch_size: int | None = None
     verbose: bool = False
 
     @staticmethod

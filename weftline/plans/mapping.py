@@ -19,7 +19,7 @@ def map_graph(raw: DataFrame, ontology: DataFrame) -> dict[str, DataFrame]:
     return out | {"nodes": nodes, "duplicates": O.duplicate_ids(nodes), "summary": O.summary(records, rels, nodes, out["edges"])}
 
 
-def run(spark: SparkSession, raw_path: str, ontology_path: str, out_path: str, categories: list[str] | None = None, batch_size: int = 500) -> dict[str, DataFrame]:
+def run(spark: SparkSession, raw_path: str, ontology_path: str, out_path: str, categories: list[str] | None = None, batch_size: int | None = None) -> dict[str, DataFrame]:
     """Read both files, map, and write the graph and the reports."""
     ontology = D.read_first_json(spark, ontology_path, schemas.ONTOLOGY)
     kinds = categories or list(ontology.select("node_types").first()[0])

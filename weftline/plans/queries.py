@@ -660,8 +660,8 @@ def dependency_resolve(spark, d):
 
 
 @query(
-    """WITH n AS (SELECT conv_id, turn, role, conv_id || ':' || turn AS wid, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations),
-e AS (SELECT a.conv_id, a.wid AS source, b.role AS relation, b.wid AS target, b.turn AS seq FROM n a JOIN n b ON a.conv_id = b.conv_id AND b.turn > a.turn AND b.turn <= a.turn + 3 WHERE a.conv_id % 2 = 0),
+    """WITH n AS (SELECT conv_id, turn, role, text, conv_id || ':' || turn AS wid, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations),
+e AS (SELECT a.conv_id, a.wid AS source, b.role AS relation, b.wid AS target, b.turn AS seq FROM n a JOIN n b ON a.conv_id = b.conv_id AND b.turn > a.turn AND b.turn <= a.turn + 3 AND length(a.text) < length(b.text)),
 l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY conv_id, source, relation ORDER BY seq DESC) = 1),
 f AS (SELECT a.conv_id, a.wid AS source, 'success' AS relation, b.wid AS target FROM n a JOIN n b ON a.conv_id = b.conv_id AND b.position = a.position + 1 WHERE a.conv_id NOT IN (SELECT conv_id FROM l)),
 m AS (SELECT conv_id, source, relation, target FROM l UNION ALL SELECT * FROM f)
@@ -670,11 +670,11 @@ SELECT conv_id AS prompt_id, source, relation, target FROM m UNION ALL SELECT co
 def workflow_connections(spark, d):
     c = table(spark, d, "conversations")
     node = F.concat_ws(":", "conv_id", "turn")
-    n = c.select(F.col("conv_id").alias("prompt_id"), node.alias("node_id"), node.alias("wid"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("position"), "turn", "role")
-    a, b = n.where("prompt_id % 2 = 0").alias("a"), n.alias("b")
-    e = a.join(b, (F.col("a.prompt_id") == F.col("b.prompt_id")) & (F.col("b.turn") > F.col("a.turn")) & (F.col("b.turn") <= F.col("a.turn") + 3))
+    n = c.select(F.col("conv_id").alias("prompt_id"), node.alias("node_id"), node.alias("wid"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("position"), "turn", "role", "text")
+    a, b = n.alias("a"), n.alias("b")
+    e = a.join(b, (F.col("a.prompt_id") == F.col("b.prompt_id")) & (F.col("b.turn") > F.col("a.turn")) & (F.col("b.turn") <= F.col("a.turn") + 3) & (F.length("a.text") < F.length("b.text")))
     e = e.select(F.col("a.prompt_id").alias("prompt_id"), F.col("a.node_id").alias("source"), F.col("b.node_id").alias("target"), F.col("b.role").alias("relation"), F.col("b.turn").alias("seq"))
-    return workflow.connections(n, e)
+    return workflow.connections(n.drop("text"), e)
 
 
 @query("WITH e AS (SELECT conv_id, role AS name, min(turn) AS t FROM conversations GROUP BY 1, 2) SELECT conv_id AS prompt_id, string_agg(name, ',' ORDER BY t) AS inputs FROM e GROUP BY 1")
@@ -750,3 +750,6 @@ def workflow_documents(spark, d):
     prompts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("prompt_id"), F.concat(F.lit("red bolt then small gear of "), "s_name").alias("text"))
     out = Pipeline(nodes, e, functions, HashEmbedding()).run(prompts)
     return out.select("prompt_id", "Name", F.size("Nodes").alias("n_nodes"), F.to_json("Nodes").alias("nodes"), F.to_json("Connections").alias("connections"))
+
+
+from . import more_queries  # noqa: E402, F401  (adds its queries to QUERIES and SQL)

@@ -50,13 +50,14 @@ def label_sets(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy(F.array_sort(F.array_distinct("types")).alias("labels")).agg(F.count("*").alias("n"))
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str, batch_size: int = 500) -> None:
-    """Nodes, and edges partitioned by type, in files of at most batch_size rows."""
-    if batch_size < 1:
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, batch_size: int | None = None) -> None:
+    """Nodes, and edges partitioned by type; with batch_size in files of at most so many rows, else in files as large as the tasks'."""
+    if batch_size is not None and batch_size < 1:
         raise ValueError("batch_size must be 1 or more")
     check_unique(nodes)
-    nodes.write.mode("overwrite").option("maxRecordsPerFile", batch_size).parquet(f"{path}/nodes")
-    edges.withColumn("type", identifier(F.col("type"))).write.mode("overwrite").option("maxRecordsPerFile", batch_size).partitionBy("type").parquet(f"{path}/edges")
+    most = batch_size or 0
+    nodes.write.mode("overwrite").option("maxRecordsPerFile", most).parquet(f"{path}/nodes")
+    edges.withColumn("type", identifier(F.col("type"))).write.mode("overwrite").option("maxRecordsPerFile", most).partitionBy("type").parquet(f"{path}/edges")
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
