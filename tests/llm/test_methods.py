@@ -264,6 +264,24 @@ def test_repeated_strings(spark, task_rows):
     assert {x[0]: tuple(x[1:]) for x in got.collect()} == plain_removal(docs)
 
 
+def test_windows_of_equal_hash_are_compared(monkeypatch):
+    """Even if all hashes collide, only equal windows count as seen (the one before of equal hash is looked at)."""
+    r = random.Random(3)
+    ctx = [bytes(r.choice(b"ab") for _ in range(130)) for _ in range(4)]
+    pdf = pd.DataFrame({"ctx": [ctx[0], ctx[1], ctx[1], ctx[0] + ctx[2]], "h": [1, 2, 2, 1], "lo": [0, 5, 9, 3]})
+    row, start, _, seen = B.compare(pdf, 100)
+    text, want, before = [bytes(x) for x in pdf["ctx"]], [], set()
+    for i, s in zip(row, start - pdf["lo"].to_numpy()[row]):
+        w = text[i][s : s + 100]
+        want.append(w in before)
+        before.add(w)
+    assert seen.tolist() == want and sum(want) == 62
+    monkeypatch.setattr(B, "mix", lambda x: x * np.uint64(0))
+    row, start, _, seen = B.compare(pdf, 100)
+    at = [text[i][s : s + 100] for i, s in zip(row, start - pdf["lo"].to_numpy()[row])]
+    assert all(at[i] == at[i - 1] for i in np.nonzero(seen)[0])
+
+
 def test_forward_backward():
     rng = np.random.default_rng(3)
     size = np.array([4, 3, 1])

@@ -7,9 +7,9 @@ The method first named for this operator, a run-compressed Burrows-Wheeler index
 1. anchors: every window of `length` bytes selects the least hash among its GRAM-byte grams, so equal windows have equal anchors at equal offsets;
 2. anchors whose hash recurs are joined back to their documents, which return the bytes around them, enough for all windows of the anchor;
 3. rows of an anchor meet in a task, which compares all their windows in document order and returns the spans that occurred before. An anchor with very many
-   rows is salted; windows that are still first within their salt meet again by window hash in a plain aggregation;
+   rows is salted; windows that are still first within their salt meet again by two 64-bit hashes, the window's and its anchor's, in a plain aggregation;
 4. spans are joined to their documents and cut out.
-Windows are compared by a 64-bit polynomial hash together with their anchor's 64-bit hash.
+Within a task windows of equal hash are compared byte by byte; only windows of different salts are equal by their two hashes alone.
 
 Documents are ordered by (doc_id, text hash), nulls first; rows equal in both are one document and get equal results. Null texts are empty. An empty table gives
 an empty table.
@@ -170,12 +170,36 @@ def compare(pdf: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, np.
     h = (total[at + length] - total[at]) * down[at]
     h = mix(h ^ mix(pdf["h"].to_numpy(np.int64).view(np.uint64) + _K1)[row])
     order = np.argsort(h, kind="stable")  # equal windows stay in document order
-    again = np.concatenate([[False], h[order][1:] == h[order][:-1]])
-    seen = np.zeros(len(h), bool)
-    seen[order] = again
+    twin = np.full(len(h), -1)  # the window before of equal hash
+    same = np.nonzero(h[order][1:] == h[order][:-1])[0]
+    twin[order[same + 1]] = order[same]
+    seen = verified(buf, at, row, twin, length)
     return row, pdf["lo"].to_numpy(np.int64)[row] + inner, h.view(np.int64), seen
 
 
+def verified(buf: np.ndarray, at: np.ndarray, row: np.ndarray, twin: np.ndarray, length: int) -> np.ndarray:
+    """Windows whose bytes are those of their twin. Behind a window that is, the next one of its row with the next twin has only one more byte to compare."""
+    seen = twin >= 0
+    follows = np.zeros(len(at), bool)
+    follows[1:] = seen[1:] & seen[:-1] & (row[1:] == row[:-1]) & (twin[1:] == twin[:-1] + 1) & (at[twin[1:]] == at[twin[:-1]] + 1)
+    windows = np.lib.stride_tricks.sliding_window_view(buf, length) if len(buf) >= length else buf
+
+    def check(which: np.ndarray) -> bool:
+        good = True
+        for i in range(0, len(which), 1 << 15):  # slices bound memory
+            part = which[i : i + (1 << 15)]
+            ok = (windows[at[part]] == windows[at[twin[part]]]).all(axis=1)
+            seen[part[~ok]] = False
+            good &= bool(ok.all())
+        return good
+
+    first, rest = np.nonzero(seen & ~follows)[0], np.nonzero(follows)[0]
+    end = length - 1
+    if not check(first) or not (buf[at[rest] + end] == buf[at[twin[rest]] + end]).all():
+        check(rest)  # a hash collision: nothing is taken on trust
+    return seen
+
+
 def spans_of(row: np.ndarray, start: np.ndarray, length: int):
     """Runs of window starts as (row, a, b)."""
     if not len(row):
@@ -201,7 +225,7 @@ def bucket(n: int):
 
 
 def compared(docs: DataFrame, again: DataFrame, length: int, gram: int, task_rows: int) -> DataFrame:
-    """(id, k, a, b, w, open): spans that occurred before, and windows (open, with hash w) that are still first within their salt. A table in the shared
+    """(id, k, a, b, w, g, open): spans that occurred before, and windows (open, with hashes w and g) that are still first within their salt. A table in the shared
     folder, in Parquet: a checkpoint's rows would take four times the room."""
     total = again.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
     picked = docs.withColumnRenamed("id", "id1").withColumnRenamed("k", "k1").join(again, F.col("id1").eqNullSafe(F.col("id")) & (F.col("k1") == F.col("k")))
@@ -220,13 +244,14 @@ def compared(docs: DataFrame, again: DataFrame, length: int, gram: int, task_row
                 "a": np.concatenate([a, start[open_]]),
                 "b": np.concatenate([b, start[open_] + length]),
                 "w": np.concatenate([np.zeros(len(r), np.int64), h[open_]]),
+                "g": np.concatenate([np.zeros(len(r), np.int64), pdf["h"].to_numpy(np.int64)[row[open_]]]),
                 "open": np.concatenate([np.zeros(len(r), bool), np.ones(int(open_.sum()), bool)]),
             }
         )
 
     kind = docs.schema["id"].dataType.simpleString()
     path = shared_path(docs.sparkSession, "repeats")
-    ctx.groupBy("bucket").applyInPandas(run, f"id {kind}, k long, a long, b long, w long, open boolean").write.parquet(path)
+    ctx.groupBy("bucket").applyInPandas(run, f"id {kind}, k long, a long, b long, w long, g long, open boolean").write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -242,8 +267,8 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, task_row
     later = out.where("open")
     if not later.isEmpty():
         here = F.struct("id", "k", "a")
-        first = later.groupBy("w").agg(F.min(here).alias("first"), F.max(here).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("w", "first")
-        spans = spans.unionByName(later.join(first, "w").where(~here.eqNullSafe(F.col("first"))).select("id", "k", "a", "b"))
+        first = later.groupBy("w", "g").agg(F.min(here).alias("first"), F.max(here).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("w", "g", "first")
+        spans = spans.unionByName(later.join(first, ["w", "g"]).where(~here.eqNullSafe(F.col("first"))).select("id", "k", "a", "b"))
     return spans.groupBy("id", "k").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
 
