@@ -45,7 +45,7 @@ RATE = 0.4
 LEXICON = 20_000
 #: Letters of a chain element; a longer run of letters is cut into elements that overlap by two, so that no n-gram is lost.
 REACH = 24
-CHUNK = 1_000_000
+CHUNK = 4_000_000
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 SCHEMA = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
 
