@@ -176,6 +176,23 @@ def test_reconnection(spark):
     assert "deprecated" in subgraph.build(actions(spark, "register", "notify"), ctx_nodes(spark), gone, radius=0)["connections"][0]["reason"]
 
 
+def test_paths_of_pairs(spark):
+    e = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 5.0), ("c", "d", 0.0), ("a", "d", 2.0), ("d", "e", 9.0)], "source string, target string, weight double")
+    every = {(r.source, r.target): (r.cost, r.path) for r in traverse.shortest_paths(e, e.select(F.col("source").alias("id"))).collect()}
+    asked = spark.createDataFrame([("a", "c"), ("a", "d"), ("b", "d"), ("e", "a")], "source string, target string")
+    got = {(r.source, r.target): (r.cost, r.path) for r in traverse.shortest_paths(e, None, pairs=asked).collect()}
+    assert got == {p: every[p] for p in [("a", "c"), ("a", "d"), ("b", "d")]} and got["a", "d"] == (2.0, ["a", "d"])
+    assert rows(traverse.reachable(e, spark.createDataFrame([("b",), ("e",)], "id string")), "source", "target") == {("b", "b"), ("b", "c"), ("b", "d"), ("b", "e"), ("e", "e")}
+
+
+def test_merged_paths_connect_later_pairs(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "r", "mandatory", 1) for i in range(6)], EDGE)
+    nodes = ctx_nodes(spark, *[f"n{i}" for i in range(7)])
+    acts = actions(spark, "n0", "n3", "n0", "n2")
+    got = subgraph.build(acts, nodes, chain, radius=0)["connections"]
+    assert [(c["source"], c["target"], c["reason"]) for c in got] == [("n0", "n3", None), ("n3", "n0", "no path")]
+
+
 def test_path_matching(spark):
     m = spark.createDataFrame([(1, "p0", "create", 1.0, "x"), (1, "p1", "assign", 1.0, "y")], "prompt_id int, id string, node_id string, score double, text string")
     want = spark.createDataFrame([(1, "p0", "p1")], "prompt_id int, source string, target string")

@@ -1,4 +1,4 @@
-"""Contextual subgraphs of an action plan: validate, expand, reconnect along shortest paths. The reconnection depends on its own results, so pairs go one by one."""
+"""Contextual subgraphs of an action plan: validate, expand, reconnect along shortest paths. A merged path can connect later pairs, so these go in order."""
 
 from __future__ import annotations
 
@@ -42,26 +42,51 @@ def candidate_pairs(split: DataFrame) -> DataFrame:
 def reconnect(edges: DataFrame, sub_nodes: DataFrame, sub_edges: DataFrame, pairs: DataFrame, by: str, max_path: int = MAX_PATH) -> tuple[DataFrame, DataFrame, list[dict]]:
     """Merge the best path of each pair that the subgraph does not connect yet; the globally best path is taken, and only then rejected for its length or a deprecated edge.
 
-    Pairs are those of one plan (bounded by its actions' candidates), so they are driver rows; paths come from one relaxation over the graph."""
+    Pairs are those of one plan (bounded by its actions' candidates), so they are driver rows. Merged edges join only ends of pairs and nodes of their paths;
+    what the subgraph connects among these is asked once, and the order of merges is followed on that closure."""
     wanted = [(r.source, r.target) for r in pairs.orderBy("ordinal", "i", "j").collect()]
     report: list[dict] = []
     if not wanted:
         return sub_nodes, sub_edges, report
     spark = edges.sparkSession
-    ask = spark.createDataFrame(sorted({s for s, _ in wanted}), "string").toDF("id")
-    best = {(r.source, r.target): r for r in T.shortest_paths(edges, ask, by).join(F.broadcast(spark.createDataFrame(wanted, "source string, target string").distinct()), ["source", "target"]).collect()}
-    bad = {(r.source, r.target) for r in edges.where(T.deprecated(F.col("edge_type"))).join(F.broadcast(spark.createDataFrame([(a, b) for r in best.values() for a, b in zip(r.path, r.path[1:])] or [("", "")], "source string, target string").distinct()), ["source", "target"]).collect()}
+    ends = "source string, target string"
+    best = {(r.source, r.target): r for r in T.shortest_paths(edges, None, by, pairs=spark.createDataFrame(wanted, ends)).collect()}
+    on_paths = sorted({e for r in best.values() for e in zip(r.path, r.path[1:])})
+    old = edges.where(T.deprecated(F.col("edge_type"))).join(spark.createDataFrame(on_paths, ends), ["source", "target"], "left_semi") if on_paths else None
+    bad = {(r.source, r.target) for r in old.select("source", "target").distinct().collect()} if old is not None else set()
+
+    def reason(pair):
+        r = best.get(pair)
+        if r is None:
+            return "no path"
+        return f"path too long: {r.hops} hops" if r.hops > max_path else "path uses a deprecated edge" if any(e in bad for e in zip(r.path, r.path[1:])) else None
+
+    verdict = {p: reason(p) for p in wanted}
+    places = {n for p in wanted for n in p} | {n for p, why in verdict.items() if why is None for n in best[p].path}
+    at = spark.createDataFrame([(n,) for n in sorted(places)], "id string")
+    joined = T.reachable(sub_edges, at).join(at.withColumnRenamed("id", "target"), "target", "left_semi")
+    leads: dict[str, set[str]] = {n: set() for n in places}
+    for r in joined.collect():
+        leads[r.source].add(r.target)
+
+    def connected(s, t):
+        seen, todo = {s}, [s]
+        while todo:
+            new = leads[todo.pop()] - seen
+            seen |= new
+            todo += new
+        return t in seen
+
     merged: list[tuple[str, str]] = []
     for s, t in wanted:
-        now = sub_edges if not merged else sub_edges.select("source", "target").union(spark.createDataFrame(merged, "source string, target string"))
-        found = cut(T.shortest_paths(now.withColumn("weight", F.lit(1)) if "weight" not in now.columns else now, spark.createDataFrame([(s,)], "id string"), "bfs")).where(F.col("target") == t)
-        if not found.isEmpty():
+        if connected(s, t):
             continue
-        r = best.get((s, t))
-        reason = "no path" if r is None else f"path too long: {r.hops} hops" if r.hops > max_path else "path uses a deprecated edge" if any(e in bad for e in zip(r.path, r.path[1:])) else None
-        report.append({"source": s, "target": t, "path": r.path if r else None, "cost": r.cost if r else None, "reason": reason})
-        if reason is None:
-            merged += list(zip(r.path, r.path[1:]))
+        r, why = best.get((s, t)), verdict[s, t]
+        report.append({"source": s, "target": t, "path": r.path if r else None, "cost": r.cost if r else None, "reason": why})
+        if why is None:
+            for a, b in zip(r.path, r.path[1:]):
+                merged.append((a, b))
+                leads[a].add(b)
     if merged:
         m = spark.createDataFrame(merged, "source string, target string").distinct()
         sub_edges = sub_edges.unionByName(edges.join(F.broadcast(m), ["source", "target"], "left_semi").select(*sub_edges.columns)).distinct()
@@ -85,7 +110,7 @@ def match_paths(matches: DataFrame, prompt_edges: DataFrame, edges: DataFrame, b
     matches: prompt_id, id, node_id, score, text (accepted ones); prompt_edges: prompt_id, source, target."""
     side = lambda s: matches.select("prompt_id", F.col("id").alias(s), F.col("node_id").alias(f"{s}_node"))
     want = prompt_edges.join(side("source"), ["prompt_id", "source"]).join(side("target"), ["prompt_id", "target"]).where("source_node <> target_node")
-    paths = T.shortest_paths(edges, want.select(F.col("source_node").alias("id")), by).select(F.col("source").alias("source_node"), F.col("target").alias("target_node"), "path", "cost", "hops")
+    paths = T.shortest_paths(edges, None, by, pairs=want.select(F.col("source_node").alias("source"), F.col("target_node").alias("target"))).select(F.col("source").alias("source_node"), F.col("target").alias("target_node"), "path", "cost", "hops")
     got = want.join(paths, ["source_node", "target_node"], "left")
     direct = matches.groupBy("prompt_id", "node_id").agg(F.max(F.struct("score", "text")).alias("best"), F.array_sort(F.collect_list("text")).alias("texts"), F.array_sort(F.collect_list("id")).alias("ids"), F.count("*").alias("n"))
     direct = direct.select("prompt_id", "node_id", F.col("best.score").alias("score"), F.col("best.text").alias("text"), "texts", "ids", "n")

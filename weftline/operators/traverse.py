@@ -56,13 +56,18 @@ def strategy(edges: DataFrame) -> str:
     return "bfs" if n <= 1 else "dijkstra"
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, by: str = "dijkstra", targets: DataFrame | None = None) -> DataFrame:
-    """(source, target, cost, hops, path) of the best directed path from each source to every node it reaches.
+def shortest_paths(edges: DataFrame, sources: DataFrame | None, by: str = "dijkstra", targets: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """(source, target, cost, hops, path) of the best directed path from each source to every node (or target) it reaches, or of the pairs (source, target) asked for.
 
-    Cost is the weight (dijkstra) or the hops (bfs); ties by hops, then path. Frontiers are relaxed until nothing improves; paths are not bounded by length."""
+    Cost is the weight (dijkstra) or the hops (bfs); ties by hops, then path. Frontiers are relaxed until nothing improves; paths are not bounded by length.
+    With pairs, a path dearer than the dearest of its source's targets is not grown once all of them are reached, unless weights can be negative."""
     w = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if by == "dijkstra" and "weight" in edges.columns else F.lit(1.0)
     step = cut(edges.select(F.col("source").alias("u"), F.col("target").alias("v"), w.alias("w")).groupBy("u", "v").agg(F.min("w").alias("w")))
-    start = sources.select(F.col("id").alias("source")).distinct()
+    if pairs is not None:
+        pairs = cut(pairs.select("source", "target").distinct())
+        start, prune = pairs.select("source").distinct(), step.where("w < 0").isEmpty()
+    else:
+        start, prune = sources.select(F.col("id").alias("source")).distinct(), False
     best = cut(start.select("source", F.col("source").alias("target"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.array("source").alias("path")))
     front = best
     while True:
@@ -71,12 +76,29 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, by: str = "dijkstra", t
         every = best.withColumn("new", F.lit(False)).union(grown.withColumn("new", F.lit(True)))
         every = cut(first_wins(every, ["source", "target"], ["cost", "hops", "path", "new"]))
         front, best = every.where("new").drop("new"), every.drop("new")
+        if prune:
+            cost = best.select("source", "target", "cost")
+            bound = pairs.join(cost, ["source", "target"], "left").groupBy("source").agg(F.when(F.count("cost") == F.count("*"), F.max("cost")).alias("bound"))
+            front = front.join(bound, "source").where("bound IS NULL OR cost <= bound").drop("bound")
         if front.isEmpty():
             break
     best = best.where("hops > 0")
+    best = best if pairs is None else best.join(pairs, ["source", "target"], "left_semi")
     return best.join(targets.select(F.col("id").alias("target")).distinct(), "target", "left_semi") if targets is not None else best
 
 
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(source, target): each seed (id) and every node that a directed path leads to from it; only the frontier is joined and written."""
+    step = cut(edges.select(F.col("source").alias("u"), F.col("target").alias("v")).distinct())
+    front = cut(seeds.select(F.col("id").alias("source"), F.col("id").alias("target")).distinct())
+    seen = front
+    while not front.isEmpty():
+        grown = front.join(step, F.col("target") == F.col("u")).select("source", F.col("v").alias("target")).distinct()
+        front = cut(grown.join(seen, ["source", "target"], "left_anti"))
+        seen = seen.union(front)
+    return seen
+
+
 def topological_order(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((plan_id, id, level, position) of nodes, (plan_id, source, target) of edges on or between cycles).
 

@@ -159,6 +159,33 @@ def action_pairs(spark, d):
     return subgraph.candidate_pairs(subgraph.split_actions(a, nodes)).select("prompt_id", "ordinal", "source", "target")
 
 
+@query(
+    """WITH q AS (SELECT n_nationkey AS o, (n_nationkey + (n_nationkey - n_regionkey) // 5 * 3) % 9 AS q FROM nation),
+a AS (SELECT o, unnest([0, 1]) AS i, 2 * unnest([q, (q + 2) % 9]) AS pos FROM q),
+w AS (SELECT row_number() OVER (ORDER BY x.o, x.i, y.i) AS k, x.pos AS s, y.pos AS t FROM a x JOIN a y ON y.o = x.o + 1 WHERE x.pos <> y.pos),
+e AS (SELECT c_custkey AS u, 1 + c_custkey % 7 AS w, c_custkey % 20 = 11 AS old FROM customer WHERE c_custkey % 20 <> 19 AND c_custkey + 1 IN (SELECT c_custkey FROM customer)),
+v AS (SELECT k, s, t, count(u) = abs(t - s) AND t > s AS there, sum(w) AS cost, CASE WHEN t < s OR count(u) < t - s THEN 'no path' WHEN t - s > 4 THEN 'path too long: ' || (t - s) || ' hops' WHEN bool_or(old) THEN 'path uses a deprecated edge' END AS reason
+      FROM w LEFT JOIN e ON u >= s AND u < t GROUP BY k, s, t),
+seen AS (SELECT v.k, e.u, bool_or(b.k IS NOT NULL) AS has FROM v JOIN e ON e.u >= v.s AND e.u < v.t LEFT JOIN v b ON b.k < v.k AND b.reason IS NULL AND e.u >= b.s AND e.u < b.t GROUP BY v.k, e.u),
+joined AS (SELECT k FROM seen GROUP BY k HAVING bool_and(has))
+SELECT row_number() OVER (ORDER BY k) - 1 AS at, 'c' || s AS source, 'c' || t AS target, CASE WHEN there THEN array_to_string(list_transform(range(s, t + 1), lambda x: 'c' || x), ' -> ') END AS path,
+       CASE WHEN there THEN cost::DOUBLE END AS cost, reason FROM v WHERE k NOT IN (SELECT k FROM joined)"""
+)
+def reconnected_plan(spark, d):
+    """Nations are one plan's actions, with two customers each as candidates; customers are chained in twenties. The report of every connection tried, in order."""
+    q = (F.col("n_nationkey") + F.expr("(n_nationkey - n_regionkey) div 5") * 3) % 9
+    item = lambda x: F.struct(F.concat(F.lit("c"), (x * 2).cast("string")).alias("domain_node_id"), F.lit("").alias("domain_node_name"), F.lit(1.0).alias("similarity"))
+    plan = table(spark, d, "nation").select(F.col("n_nationkey").alias("ordinal"), F.col("n_name").alias("prompt_node_id"), F.array(item(q), item((q + 2) % 9)).alias("candidates"))
+    c = table(spark, d, "customer").select("c_custkey")
+    name = lambda x: F.concat(F.lit("c"), x.cast("string"))
+    k = F.col("c_custkey")
+    e = c.where(k % 20 != 19).join(c.select((k - 1).alias("c_custkey")), "c_custkey", "left_semi")
+    e = e.select(name(k).alias("source"), name(k + 1).alias("target"), F.lit("OPERATION_PRECEDES").alias("relation"), F.when(k % 20 == 11, "Deprecated").otherwise("mandatory").alias("edge_type"), (k % 7 + 1).alias("weight"))
+    report = subgraph.build(plan, c.select(name(k).alias("id"), F.lit(True).alias("executable")), e, radius=0)["connections"]
+    rows = [(i, r["source"], r["target"], " -> ".join(r["path"]) if r["path"] else None, r["cost"], r["reason"]) for i, r in enumerate(report)]
+    return spark.createDataFrame(rows, "at long, source string, target string, path string, cost double, reason string")
+
+
 @query(
     """WITH m AS (SELECT o_custkey AS prompt_id, o_orderkey::VARCHAR AS id, o_orderpriority AS node_id, o_totalprice::DOUBLE AS score, o_orderstatus || o_orderkey AS text FROM orders),
 b AS (SELECT prompt_id, node_id, score, text FROM m QUALIFY row_number() OVER (PARTITION BY prompt_id, node_id ORDER BY score DESC, text DESC) = 1),
