@@ -11,6 +11,7 @@ from ..operators import beam, context, workflow
 from ..operators.candidates import match_functions
 from ..operators.ranking import dedup_steps
 from ..operators.traverse import plan_order
+from ..sources import report
 from ..sources.graph import domain_context
 from ..sources.sinks import log_stage
 from .config import Config
@@ -57,15 +58,18 @@ class Pipeline:
         steps = cut(steps.withColumn("query", self.embedding.encode(F.col("text"))))
         ctx = {k: cut(v) for k, v in context.build(steps, deps, self.nodes, self.edges, c.top_k, c.depth).items() if k != "inferred"}
         log_stage("candidates", ctx["candidates"], c.verbose)
+        log_stage("weighted edges", report.weighted_edge_lines(ctx["edges"]), c.verbose)
         beams = beam.search(ctx["candidates"], ctx["nodes"], ctx["edges"], c.beam_width, c.max_candidates)
         none = prompts.join(beams.where("beam_rank = 1 AND size(selected_ids) > 0"), "prompt_id", "left_anti").limit(5).collect()
         if none:
             raise RuntimeError(f"no operation was selected for {[r.prompt_id for r in none]}")
         log_stage("beams", beams, c.verbose)
+        log_stage("selected", report.selection_lines(beams, ctx["candidates"]), c.verbose)
         ops, order_edges = beam.expand(beams, ctx["nodes"], ctx["edges"])
         ops, order_edges = cut(ops), cut(order_edges.withColumn("seq", F.xxhash64("source", "relation", "target")))
         order = plan_order(ops.select(F.col("prompt_id").alias("plan_id"), F.col("node_id").alias("id"), "seq"), order_edges.withColumnRenamed("prompt_id", "plan_id"))
         placed = ops.drop("seq").join(order.select(F.col("plan_id").alias("prompt_id"), F.col("id").alias("node_id"), "position"), ["prompt_id", "node_id"])
+        log_stage("execution order", report.order_lines(placed.select("prompt_id", "node_id", "position"), ops), c.verbose)
         text = X.match_text(F.col("name"), F.lit(None).cast("string"), F.lit(None).cast("string"))
         ask = placed.select(F.struct("prompt_id", "node_id").alias("text_id"), text.alias("text"), self.embedding.encode(text).alias("query"))
         found = match_functions(ask, self.functions, c.match_threshold).select(

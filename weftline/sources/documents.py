@@ -48,11 +48,17 @@ def ontology_terms(ontology: DataFrame) -> DataFrame:
     return ontology.select(F.posexplode("relationships").alias("def_index", "d")).select("def_index", "d.type", F.explode("d.raw_terms").alias("raw_term"), "d.source_types", "d.target_types")
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """.csv by Spark, .xlsx by pandas; anything else is an error."""
+def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Whole JSON files, one document or an array of rows each; the schema is inferred if none is given."""
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def read_table(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    """.csv by Spark, quotes doubled, .xlsx by pandas; anything else is an error. Without line breaks within cells a large .csv is read in splits."""
     kind = os.path.splitext(path)[1].lower()
     if kind == ".csv":
-        return spark.read.option("header", True).csv(path)
+        return spark.read.option("header", True).option("escape", '"').option("multiLine", line_breaks).csv(path)
     if kind == ".xlsx":
         import pandas as pd
 

@@ -31,3 +31,23 @@ def workflow_lines(documents: DataFrame) -> DataFrame:
     node = documents.select("prompt_id", F.posexplode("Nodes").alias("at", "n"))
     found = F.when(F.col("n.FunctionDetails.Found"), F.concat(F.lit(" = "), F.col("n.FunctionDetails.FunctionName"))).otherwise(" (no function)")
     return node.select("prompt_id", "at", F.concat(F.col("n.Name"), found).alias("line"))
+
+
+def weighted_edge_lines(edges: DataFrame) -> DataFrame:
+    """edges: prompt_id, source, target, relation, edge_type, weight, classification."""
+    text = F.format_string("%s -%s-> %s (%s, weight %s, %s)", "source", "relation", "target", F.coalesce("edge_type", F.lit("?")), F.coalesce(F.col("weight").cast("string"), F.lit("?")), F.coalesce("classification", F.lit("?")))
+    return edges.select("prompt_id", F.xxhash64("source", "relation", "target").alias("at"), text.alias("line"))
+
+
+def selection_lines(beams: DataFrame, candidates: DataFrame) -> DataFrame:
+    """What the best beam chose for each step, and where it came from."""
+    chosen = beams.where("beam_rank = 1").select("prompt_id", F.explode("selection").alias("s")).select("prompt_id", "s.step_index", "s.node_id", "s.name")
+    why = candidates.select("prompt_id", "step_index", "node_id", "prompt_text", "source")
+    text = F.concat(F.coalesce("prompt_text", F.lit("")), F.lit(" -> "), F.coalesce("name", F.lit("")), F.lit(" (source "), F.coalesce("source", F.lit("unknown")), F.lit(")"))
+    return chosen.join(why, ["prompt_id", "step_index", "node_id"], "left").select("prompt_id", F.col("step_index").alias("at"), text.alias("line"))
+
+
+def order_lines(order: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The execution order by names. order: prompt_id, node_id, position; nodes: prompt_id, node_id, name."""
+    named = order.join(nodes.select("prompt_id", "node_id", "name"), ["prompt_id", "node_id"], "left")
+    return named.select("prompt_id", F.col("position").alias("at"), F.coalesce("name", "node_id").alias("line"))

@@ -7,6 +7,8 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 IDENTIFIER = "^[A-Za-z][A-Za-z0-9_]*$"
 
 
@@ -64,6 +66,37 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
 
 
+def store_graph(nodes: DataFrame, edges: DataFrame, uri: str, user: str = "", password: str = "", database: str = "", batch_size: int = 500) -> None:
+    """Upsert a graph into the tables `nodes` and `edges` of a database by JDBC, in batches of `batch_size` rows; lists are stored as JSON.
+
+    nodes: id and properties; edges: source, type, id, target and properties; those without both ends are dropped. Old and new rows are united before anything is written."""
+    if batch_size < 1:
+        raise ValueError("batch_size must be 1 or more")
+    spark, url = nodes.sparkSession, f"{uri.rstrip('/')}/{database}" if database else uri
+    login = {k: v for k, v in (("user", user), ("password", password)) if v}
+    flat = lambda df: df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes])
+
+    def stored(name, columns):
+        try:
+            old = spark.read.format("jdbc").options(url=url, dbtable=name, **login).load()
+        except Exception as missing:  # the first import: databases name an absent table in their own ways
+            if not any(w in str(missing).lower() for w in ("not exist", "not found", "no such table", "unknown table", "invalid object")):
+                raise
+            return None
+        return old.select(*[F.col(c).alias(next((n for n in columns if n.lower() == c.lower()), c)) for c in old.columns])
+
+    def put(name, df):
+        df.write.format("jdbc").options(url=url, dbtable=name, batchsize=batch_size, **login).mode("overwrite").save()
+
+    check_unique(nodes)
+    nodes, edges = flat(nodes), flat(edges.withColumn("type", identifier(F.col("type"))))
+    old_nodes, old_edges = stored("nodes", nodes.columns), stored("edges", edges.columns)
+    nodes = cut(nodes if old_nodes is None else upsert(old_nodes, nodes, ["id"]))
+    edges = cut(upsert_edges(edges.limit(0) if old_edges is None else old_edges, edges, nodes))
+    put("nodes", nodes)
+    put("edges", edges)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
