@@ -26,17 +26,17 @@ def present(a: Column) -> Column:
     return F.coalesce(F.size(a) > 0, F.lit(False))
 
 
-def cosine_raw(a: Column, b: Column, na: Column | None = None, nb: Column | None = None) -> Column:
-    """In [-1, 1]; a zero norm gives 0. Norms can be handed in, so that they are not computed anew for each pair."""
+def cosine_raw(a: Column, b: Column, na: Column | None = None, nb: Column | None = None, product: Column | None = None) -> Column:
+    """In [-1, 1]; a zero norm gives 0. Norms and the product can be handed in, so that they are not computed anew for each pair."""
     n = (norm(a) if na is None else na) * (norm(b) if nb is None else nb)
-    return F.when(n == 0, 0.0).otherwise(F.try_divide(dot(a, b), n))
+    return F.when(n == 0, 0.0).otherwise(F.try_divide(dot(a, b) if product is None else product, n))
 
 
-def cosine_client(a: Column, b: Column, na: Column | None = None, nb: Column | None = None) -> Column:
+def cosine_client(a: Column, b: Column, na: Column | None = None, nb: Column | None = None, product: Column | None = None) -> Column:
     """(cos + 1) / 2 within [0, 1]; absent, empty, unlike in length or of norm zero gives 0."""
     n = (norm(a) if na is None else na) * (norm(b) if nb is None else nb)
     same = present(a) & present(b) & (F.size(a) == F.size(b)) & (n != 0)
-    return F.coalesce(F.when(same, clamp((F.try_divide(dot(a, b), n) + 1.0) / 2.0)), F.lit(0.0))
+    return F.coalesce(F.when(same, clamp((F.try_divide(dot(a, b) if product is None else product, n) + 1.0) / 2.0)), F.lit(0.0))
 
 
 def cosine_builder(a: Column, b: Column) -> Column:

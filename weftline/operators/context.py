@@ -20,7 +20,7 @@ def direct_candidates(steps: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     steps: prompt_id, step_index, text, explicit, query."""
     keyed = steps.withColumn("step_id", F.struct("prompt_id", "step_index"))
     found = C.candidate_nodes(keyed, nodes, k).select("step_id", "id", F.col("score").alias("client_score"), F.col("rank").alias("client_rank"))
-    both = found.join(F.broadcast(keyed.select("step_id", "text", "explicit", "query")), "step_id").join(nodes, "id")
+    both = found.join(keyed.select("step_id", "text", "explicit", "query"), "step_id").join(nodes, "id")
     lexical = X.lexical_builder(F.col("text"), F.col("name"), F.col("aliases"), F.col("description"))
     semantic = V.cosine_builder(V.doubles(F.col("query")), V.doubles(F.col("embedding")))
     scored = both.withColumn("lexical_score", lexical).withColumn("semantic_score", semantic)

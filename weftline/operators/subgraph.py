@@ -132,8 +132,11 @@ def best_matches(concepts: DataFrame, nodes: DataFrame, threshold: float = 0.35)
     from ..functions import vectors as V
 
     keyed = concepts.withColumn("step_id", F.struct("prompt_id", "id"))
-    both = C.pairs(keyed.select("step_id", F.col("text").alias("said"), V.doubles(F.col("query")).alias("query")), nodes)
-    both = both.select("step_id", F.col("said").alias("text"), "seq", F.col("id").alias("node_id"), V.cosine_raw(F.col("query"), V.doubles(F.col("embedding"))).alias("score"))
+    q = keyed.select("step_id", F.col("text").alias("said"), V.doubles(F.col("query")).alias("query")).withColumn("_qn", V.norm(F.col("query")))
+    n = nodes.withColumn("embedding", V.doubles(F.col("embedding"))).withColumn("_nn", V.norm(F.col("embedding")))
+    both = C.scored(q, n, ("query", "embedding"))
+    score = V.cosine_raw(F.col("query"), F.col("embedding"), F.col("_qn"), F.col("_nn"), F.col("product"))
+    both = both.select("step_id", F.col("said").alias("text"), "seq", F.col("id").alias("node_id"), score.alias("score"))
     best = first_wins(both, ["step_id"], [F.col("score").desc(), F.col("seq")]).select("step_id.*", "text", "node_id", "score")
     return best.where(F.col("score") >= threshold), best.where(F.col("score") < threshold)
 
