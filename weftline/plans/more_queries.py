@@ -186,6 +186,18 @@ def reconnected_plan(spark, d):
     return spark.createDataFrame(rows, "at long, source string, target string, path string, cost double, reason string")
 
 
+@query(
+    f"""WITH {S_FK}, w AS (SELECT source, target, 1.0 + length(source) % 3 AS w FROM edges)
+SELECT a.source, c.target, (a.w + b.w + c.w)::DOUBLE AS cost, 3::BIGINT AS hops, concat_ws(' -> ', a.source, a.target, b.target, c.target) AS path
+FROM w a JOIN w b ON a.target = b.source JOIN w c ON b.target = c.source WHERE a.source LIKE 'o%' AND c.target = 'r0'"""
+)
+def order_paths(spark, d):
+    """The best path of every order to the first region, along foreign keys; orders that lead elsewhere have none."""
+    e = fk_edges(spark, d).withColumn("weight", F.lit(1.0) + F.length("source") % 3)
+    pairs = table(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("source"), F.lit("r0").alias("target"))
+    return traverse.shortest_paths(e, None, "dijkstra", pairs=pairs).select("source", "target", "cost", F.col("hops").cast("long").alias("hops"), X.path_text(F.col("path")).alias("path"))
+
+
 @query(
     """WITH m AS (SELECT o_custkey AS prompt_id, o_orderkey::VARCHAR AS id, o_orderpriority AS node_id, o_totalprice::DOUBLE AS score, o_orderstatus || o_orderkey AS text FROM orders),
 b AS (SELECT prompt_id, node_id, score, text FROM m QUALIFY row_number() OVER (PARTITION BY prompt_id, node_id ORDER BY score DESC, text DESC) = 1),
