@@ -40,7 +40,13 @@ class Counter:
         model, pre = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or pre["type"] != "ByteLevel" or not pre["use_regex"] or pre["add_prefix_space"] or spec["normalizer"]:
             raise ValueError("only plain byte-level BPE files are supported")
+        changed = [k for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix") if model.get(k)]
+        changed += [f"{k} of {t['content']!r}" for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip") if t.get(k)]
         vocab = model["vocab"]
+        if len(vocab) >= 1 << 20 or max(vocab.values(), default=0) >= 1 << 20:
+            changed.append("ids of 2^20 and more")
+        if changed:
+            raise ValueError(f"the file changes how tokens are counted: {', '.join(changed)}")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.first = [vocab[s] for _, s in sorted(byte_symbols().items())]
         # a pair is keyed a << 20 | b; the rank finds the pair and what it makes
