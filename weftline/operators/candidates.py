@@ -1,27 +1,33 @@
 """Similarity search: steps against all nodes, texts against all functions.
 
-Steps are a stated query set and are broadcast; nodes are scanned once and never shuffled, and only k rows of each step and task leave the scan. Nothing is
-pre-filtered: every node is scored. Sets of steps beyond a block are joined block by block, nodes scanned once a block, and ranked together.
+Nothing is pre-filtered: every node is scored. `nearest` packs both sides into blocks, sets every block of one beside every block of the other, and lets the k best
+rows of each step and block leave the workers; neither side passes through the driver. `scored` and `pairs` give whole sets of pairs; their steps are broadcast in blocks.
 
-Products of vectors and overlaps of token sets are computed for a block of steps and an Arrow batch of nodes at once: folds over lambdas cost about 10 microseconds
+Products of vectors and overlaps of token sets are computed for a block of steps and one of nodes at once: folds over lambdas cost about 10 microseconds
 a pair. Sums run over the dimensions in order, one product of columns after the other, so they are equal to the last bit to a fold from left to right.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..lineage import cut
 from .ranking import top_k
 
 BLOCK = 10_000
 #: Steps scored at once: what a worker holds is 16 bytes for each of them and each of the 10,000 rows of an Arrow batch.
 SCORED = 1024
+#: Rows set beside a block of SCORED steps at once; sums that are added up at once, so that they stay in the cache; overlaps that are remembered.
+BESIDE, SUMS, KNOWN = 4096, 1 << 15, 4096
 
 
 def pairs(steps: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -52,9 +58,15 @@ def products(queries: list, vectors: pa.ListArray) -> np.ndarray:
             continue
         left = flat[first[rows][:, None] + np.arange(n)]
         right = np.array([queries[i] for i in cols], dtype=float)
-        total = np.zeros((len(rows), len(cols)))
-        for d in range(n):
-            total += left[:, d : d + 1] * right[:, d]
+        by_dimension, total = np.ascontiguousarray(right.T), np.zeros((len(rows), len(cols)))
+        tile = max(1, SUMS // len(cols))
+        once = np.empty((tile, len(cols)))
+        for at in range(0, len(rows), tile):
+            part = total[at : at + tile]
+            for d in range(n):
+                part += np.multiply(left[at : at + tile, d : d + 1], by_dimension[d], out=once[: len(part)])
+        if total.shape == out.shape:
+            return total
         out[np.ix_(rows, cols)] = total
     return out
 
@@ -67,14 +79,19 @@ def overlaps(asked: list, parts: list) -> np.ndarray:
     for i, a in enumerate(asked):
         for t in a or ():
             having.setdefault(t, []).append(i)
-    known = {t: np.array(x) for t, x in having.items()}
+    known, seen = {t: np.array(x) for t, x in having.items()}, {}
     for row, sets in enumerate(parts):
         for words in sets or ():
-            hits = [known[t] for t in words or () if t in known]
-            if hits:
-                shared = np.bincount(np.concatenate(hits), minlength=len(asked))
+            if (found := seen.get(key := tuple(words or ()))) is None:
+                hits = [known[t] for t in key if t in known]
+                shared = np.bincount(np.concatenate(hits), minlength=len(asked)) if hits else np.zeros(0, int)
                 at = np.flatnonzero(shared)
-                out[row, at] = np.maximum(out[row, at], shared[at] / (sizes[at] + len(words) - shared[at]))
+                if len(seen) == KNOWN:
+                    seen.clear()
+                found = seen[key] = at, shared[at] / (sizes[at] + len(key) - shared[at])
+            at, jaccard = found
+            if len(at):
+                out[row, at] = np.maximum(out[row, at], jaccard)
     return out
 
 
@@ -113,6 +130,104 @@ def scored(asked: DataFrame, scanned: DataFrame, vectors: tuple[str, str], words
     return blocks(asked, search, min(BLOCK, SCORED))
 
 
+def packed(df: DataFrame, size: int, together: int = 1) -> DataFrame:
+    """Rows in blocks of about `size`, each a binary in Arrow's format, `together` of them a partition."""
+    n = max(1, -(-df.count() // (size * together)))
+
+    def pack(batches):
+        rows = pa.Table.from_batches(held) if (held := list(batches)) else None
+        count = rows.num_rows if rows is not None else 0
+        step = -(-count // max(1, round(count / size)))
+        for at in range(0, count, step or 1):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as out:
+                out.write_table(rows.slice(at, step).combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block"])
+
+    return cut(df.repartition(n).mapInArrow(pack, "block binary"))
+
+
+def numbers(c: pa.Array) -> np.ndarray:
+    """Doubles with NaN for null."""
+    return np.asarray(c.to_numpy(zero_copy_only=False), dtype=float)
+
+
+def lengths(c: pa.ListArray) -> np.ndarray:
+    return np.where(np.asarray(c.is_null()), -1, np.diff(c.offsets.to_numpy()))
+
+
+def raw(product: np.ndarray, n: np.ndarray, known: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(score, where there is one) as vectors.cosine_raw. n: products of norms; known: both norms are there; same: lengths are equal."""
+    zero = n == 0
+    with np.errstate(all="ignore"):
+        return np.where(zero, 0.0, product / n), known & (zero | same)
+
+
+def client(product: np.ndarray, n: np.ndarray, known: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As vectors.cosine_client; NaN is above 1 there."""
+    with np.errstate(all="ignore"):
+        score = (product / n + 1.0) / 2.0
+    score = np.where(np.isnan(score), 1.0, np.minimum(np.maximum(score, 0.0), 1.0))
+    return np.where(known & same & (n != 0), score, 0.0), np.ones(n.shape, bool)
+
+
+def first_k(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k greatest of each row, of equal ones the first."""
+    k = min(k, score.shape[1])
+    least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+    above, level = score > least, score == least
+    rest = k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= rest)))
+
+
+def nearest(asked: DataFrame, scanned: DataFrame, k: int, by: str, seq: str, vectors: tuple[str, str] | None = None, words: tuple[str, str] | None = None, semantic=raw, blend=None) -> DataFrame:
+    """The k best scanned rows of each asked row `by`, by score, then `seq` (NaN first, null last): the other columns of both with score, semantic, lexical and rank.
+
+    vectors: the columns (asked, scanned) of doubles, scored by `semantic`; words: distinct tokens (asked) and sets of them (scanned), scored by the best Jaccard.
+    The score is the one there is, or what `blend` makes of (semantic, lexical)."""
+    both = [c for c in (vectors, words) if c]
+    keep = [[c for c in df.columns if c not in [x[i] for x in both]] for i, df in enumerate((asked, scanned))]
+    if vectors:
+        asked, scanned = (df.withColumn(v, V.doubles(F.col(v))).withColumn("_n", V.norm(F.col(v))) for df, v in zip((asked, scanned), vectors))
+    fields = StructType([f for df, names in zip((asked, scanned), keep) for f in df.select(names).schema.fields] + [StructField(c, DoubleType()) for c in ("score", "semantic", "lexical")])
+    nullable = StructType.fromJson(json.loads(fields.json(), object_hook=lambda o: o | {x: True for x in ("nullable", "containsNull", "valueContainsNull") if x in o}))
+
+    def opened(block: pa.Scalar) -> pa.RecordBatch:
+        return pa.ipc.open_stream(block.as_buffer()).read_all().combine_chunks().to_batches()[0]
+
+    def compared(q: pa.RecordBatch, s: pa.RecordBatch) -> pa.RecordBatch:
+        meaning = lexical = there = None
+        if vectors:
+            a, b = q.column(vectors[0]), s.column(vectors[1])
+            na, nb = numbers(q.column("_n")), numbers(s.column("_n"))
+            known = ~np.asarray(q.column("_n").is_null())[:, None] & ~np.asarray(s.column("_n").is_null())
+            meaning, there = semantic(products(b.to_pylist(), a), na[:, None] * nb, known, lengths(a)[:, None] == lengths(b))
+        if words:
+            lexical = overlaps(q.column(words[0]).to_pylist(), s.column(words[1]).to_pylist()).T
+        score = blend(meaning, lexical) if blend else lexical if meaning is None else meaning
+        order = np.where(np.isnan(score), np.inf, score)
+        if there is not None:
+            order[~there] = -np.inf
+        i, j = first_k(order, k)
+        columns = [q.column(c).take(pa.array(i)) for c in keep[0]] + [s.column(c).take(pa.array(j)) for c in keep[1]]
+        for m, null in ((score, there), (meaning, there), (lexical, None)):
+            columns.append(pa.nulls(len(i), pa.float64()) if m is None else pa.array(m[i, j], pa.float64(), mask=None if null is None else ~null[i, j]))
+        return pa.RecordBatch.from_arrays(columns, [f.name for f in nullable.fields])
+
+    def search(batches):
+        last = q = None
+        for batch in batches:
+            for one, other in zip(*batch.columns):
+                if last is None or not one.equals(last):
+                    last, q = one, opened(one)
+                s = opened(other)
+                yield compared(q, s.take(pc.sort_indices(s.column(seq))))
+
+    left, right = packed(asked, min(BLOCK, SCORED)), packed(scanned, BESIDE, 4)
+    found = left.crossJoin(right.withColumnRenamed("block", "other").hint("shuffle_replicate_nl")).mapInArrow(search, nullable)
+    return top_k(found, [by], [F.col("score").desc(), F.col(seq)], k)
+
+
 def type_filter(wanted: Column, types: Column, node_type: Column) -> Column:
     """True if nothing is wanted, or any of the node's types is."""
     return (F.coalesce(F.size(wanted), F.lit(0)) <= 0) | F.arrays_overlap(wanted, F.array_union(types, F.array(node_type)))
@@ -123,38 +238,29 @@ def candidate_nodes(steps: DataFrame, nodes: DataFrame, k: int = 5, node_types:
 
     steps: step_id, text, query; nodes: seq, id, name, node_type, description, aliases, types, embedding. With guard_empty, empty texts find nothing.
     """
-    q = steps.select("step_id", "text", V.doubles(F.col("query")).alias("query")).withColumn("_qn", V.norm(F.col("query"))).withColumn("_qt", X.token_set(F.col("text")))
+    q = steps.select("step_id", "text", "query").withColumn("_qt", X.token_set(F.col("text")))
     if guard_empty:
         q = q.where(F.coalesce(F.trim("text"), F.lit("")) != "")
-    n = nodes.withColumn("embedding", V.doubles(F.col("embedding"))).withColumn("_nn", V.norm(F.col("embedding")))
-    n = n.withColumn("_nt", X.token_parts(X.client_parts(*[F.col(c) for c in ("name", "id", "description", "aliases", "types")])))
+    n = nodes.withColumn("_nt", X.token_parts(X.client_parts(*[F.col(c) for c in ("name", "id", "description", "aliases", "types")])))
     if node_types:
         n = n.where(type_filter(X.strings(*node_types), F.col("types"), F.col("node_type")))
-    both = scored(q, n, ("query", "embedding"), ("_qt", "_nt"))
-    both = both.withColumn("semantic_score", V.cosine_client(F.col("query"), F.col("embedding"), F.col("_qn"), F.col("_nn"), F.col("product")))
-    both = both.withColumnRenamed("overlap", "lexical_score")
-    both = both.withColumn("score", V.blend_client(F.col("semantic_score"), F.col("lexical_score"))).where("score > 0")
-    slim = both.select("step_id", "seq", "id", "name", "node_type", "score", "lexical_score", "semantic_score")
-    return top_k(slim, ["step_id"], [F.col("score").desc(), F.col("seq")], k)
+    q, n = q.select("step_id", "query", "_qt"), n.select("seq", "id", "name", "node_type", "embedding", "_nt")
+    best = nearest(q, n, k, "step_id", "seq", ("query", "embedding"), ("_qt", "_nt"), client, V.blend_client).where("score > 0")
+    return best.select("step_id", "seq", "id", "name", "node_type", "score", F.col("lexical").alias("lexical_score"), F.col("semantic").alias("semantic_score"), "rank")
 
 
 def top_then_threshold(steps: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
     """Rank by raw cosine, keep k, and only then apply the threshold."""
-    q = steps.select("step_id", V.doubles(F.col("query")).alias("query")).withColumn("_qn", V.norm(F.col("query")))
-    n = nodes.withColumn("embedding", V.doubles(F.col("embedding"))).withColumn("_nn", V.norm(F.col("embedding")))
-    both = scored(q, n, ("query", "embedding")).withColumn("similarity", V.cosine_raw(F.col("query"), F.col("embedding"), F.col("_qn"), F.col("_nn"), F.col("product")))
-    return top_k(both.select("step_id", "seq", "id", "similarity"), ["step_id"], [F.col("similarity").desc(), F.col("seq")], k).where(F.col("similarity") >= threshold)
+    best = nearest(steps.select("step_id", "query"), nodes.select("seq", "id", "embedding"), k, "step_id", "seq", ("query", "embedding"))
+    return best.select("step_id", "seq", "id", F.col("score").alias("similarity"), "rank").where(F.col("similarity") >= threshold)
 
 
 def match_functions(texts: DataFrame, functions: DataFrame, threshold: float = 0.70, k: int = 1) -> DataFrame:
     """Best k functions of each text; below the threshold the score stays but the function is hidden.
 
     texts: text_id, text, query; functions: seq, name, description, inputs, outputs, embedding."""
-    q = texts.select("text_id", "text", V.doubles(F.col("query")).alias("query")).withColumn("_qn", V.norm(F.col("query")))
-    f = functions.withColumn("embedding", V.doubles(F.col("embedding"))).withColumn("_nn", V.norm(F.col("embedding")))
-    both = scored(f, q, ("embedding", "query")).withColumn("score", V.cosine_raw(F.col("query"), F.col("embedding"), F.col("_qn"), F.col("_nn"), F.col("product")))
-    both = both.drop("query", "embedding", "_qn", "_nn", "product")
-    best = top_k(both, ["text_id"], [F.col("score").desc(), F.col("seq")], k)
+    f = functions.select("seq", "name", "description", "inputs", "outputs", "embedding")
+    best = nearest(texts.select("text_id", "text", "query"), f, k, "text_id", "seq", ("query", "embedding"))
     found = F.col("score") >= threshold
     hide = lambda c: F.when(found, F.col(c))
     return best.select(

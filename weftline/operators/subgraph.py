@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut
 from . import traverse as T
-from .ranking import first_wins
 
 RADIUS, MAX_PATH = 1, 4
 
@@ -129,15 +128,9 @@ def match_paths(matches: DataFrame, prompt_edges: DataFrame, edges: DataFrame, b
 def best_matches(concepts: DataFrame, nodes: DataFrame, threshold: float = 0.35) -> tuple[DataFrame, DataFrame]:
     """(accepted, unmatched): each concept's first best node by raw cosine. concepts: prompt_id, id, text, query."""
     from . import candidates as C
-    from ..functions import vectors as V
-
-    keyed = concepts.withColumn("step_id", F.struct("prompt_id", "id"))
-    q = keyed.select("step_id", F.col("text").alias("said"), V.doubles(F.col("query")).alias("query")).withColumn("_qn", V.norm(F.col("query")))
-    n = nodes.withColumn("embedding", V.doubles(F.col("embedding"))).withColumn("_nn", V.norm(F.col("embedding")))
-    both = C.scored(q, n, ("query", "embedding"))
-    score = V.cosine_raw(F.col("query"), F.col("embedding"), F.col("_qn"), F.col("_nn"), F.col("product"))
-    both = both.select("step_id", F.col("said").alias("text"), "seq", F.col("id").alias("node_id"), score.alias("score"))
-    best = first_wins(both, ["step_id"], [F.col("score").desc(), F.col("seq")]).select("step_id.*", "text", "node_id", "score")
+
+    q = concepts.select(F.struct("prompt_id", "id").alias("step_id"), "text", "query")
+    best = C.nearest(q, nodes.select("seq", F.col("id").alias("node_id"), "embedding"), 1, "step_id", "seq", ("query", "embedding")).select("step_id.*", "text", "node_id", "score")
     return best.where(F.col("score") >= threshold), best.where(F.col("score") < threshold)
 
 

@@ -150,10 +150,9 @@ SELECT step_id AS text_id, rank, round(similarity, 9) AS score, similarity >= 0.
 )
 def function_match(spark, d):
     """The best three other functions of each text, those below the threshold hidden."""
-    f = vector_nodes(spark, d).select("seq", "id", "name", "embedding")
+    f = vector_nodes(spark, d).select("seq", "name", "embedding")
     q = vector_steps(spark, d).select(F.col("step_id").alias("text_id"), "query")
-    other = candidates.pairs(q, f).where(F.col("id") != F.concat(F.lit("v"), F.col("text_id")))
-    other = other.withColumn("score", V.cosine_raw(F.col("query"), F.col("embedding"))).select("text_id", "seq", "name", "score")
+    other = candidates.nearest(q, f, 4, "text_id", "seq", ("query", "embedding")).where("seq <> text_id")  # the best three others are among the best four
     best = ranking.top_k(other, ["text_id"], [F.col("score").desc(), F.col("seq")], 3)
     return best.select("text_id", F.col("rank").cast("long").alias("rank"), r9("score").alias("score"), (F.col("score") >= 0.70).alias("found"), F.when(F.col("score") >= 0.70, F.col("name")).alias("function_name"))
 
