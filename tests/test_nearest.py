@@ -1,11 +1,14 @@
+import os
+
 import pytest
+from oracle import TABLES, same
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
 from weftline.functions import vectors as V
 from weftline.operators import candidates as C
 from weftline.operators.ranking import top_k
-from weftline.plans.queries import QUERIES
+from weftline.plans.queries import QUERIES, SQL
 
 ODD = [[0.1 * i, 0.3, -1.7 / (i + 1)] for i in range(5)] + [[1e-300, 1e300, 3.0], [], None, [1.0], [1.0, None, 2.0], [0.0, 0.0, 0.0], [float("nan"), 1.0, 1.0]]
 WORDS = [["a", "b"], ["b"], [], ["zz"], ["a", "b", "c"], ["c"], ["a"], ["b"], ["c", "a"], [], ["b", "a"], ["zz", "c"]]
@@ -34,8 +37,19 @@ def test_best_of_odd_rows(spark, monkeypatch, block, k):
     assert C.nearest(steps.limit(0), nodes, k, "step_id", "seq", vectors).count() == 0 == C.nearest(steps, nodes.limit(0), k, "step_id", "seq", vectors).count()
 
 
-@pytest.mark.parametrize("name", ["function_match"])
+@pytest.mark.parametrize("name", ["function_match", "lexical_scores"])
 def test_searches_list_no_pairs(spark, data, monkeypatch, name):
     monkeypatch.setattr(C, "pairs", refuse)
     monkeypatch.setattr(C, "scored", refuse)
     assert QUERIES[name](spark, data).count() > 0
+
+
+def test_lexical_scores_of_odd_parts(spark, data, tmp_path):
+    """Copies beyond five, equal sets in another order, null and empty names; no name may be lost and no group left out."""
+    names = ["red bolt", "bolt red", "Red  Bolt", "", None, "hot_gear", "zz", "!!", "gear gear"]
+    rows = [(i, names[i % 7 if i < 140 else i % 9], f"Brand#{i % 2}", "LARGE" if i % 3 else "SMALL") for i in range(300)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    for t in set(TABLES) - {"part"}:
+        os.symlink(f"{data}/{t}.parquet", f"{tmp_path}/{t}.parquet")
+    assert QUERIES["lexical_scores"](spark, str(tmp_path)).count() == 30
+    same(spark, str(tmp_path), QUERIES["lexical_scores"], SQL["lexical_scores"])

@@ -180,13 +180,15 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qk ORDER BY client DESC, p_partk
 SELECT qk, rank, p_partkey, round(client, 9) AS client, round(builder, 9) AS builder FROM r"""
 )
 def lexical_scores(spark, d):
+    """Rows of equal token sets score alike, so that the first five of them are all that can be among a text's best five; equal texts are asked once."""
     c = F.col
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_type", X.token_parts(F.array("p_name", "p_brand")).alias("nt"), X.token_parts(F.array("p_name", "p_type"), X.token_set_builder).alias("nb"))
     text = F.concat("p_name", F.lit(" "), "p_type")
     q = p.where("p_partkey % 50 = 0").select(c("p_partkey").alias("qk"), X.token_set(text).alias("qt"), X.token_set_builder(text).alias("qb"))
-    both = candidates.pairs(q, p).select("qk", "p_partkey", X.best_jaccard(c("qt"), c("nt")).alias("client"), X.best_jaccard(c("qb"), c("nb")).alias("builder"))
-    best = ranking.top_k(both, ["qk"], [F.col("client").desc(), F.col("p_partkey")], 5)
-    return best.select("qk", F.col("rank").cast("long").alias("rank"), "p_partkey", r9("client").alias("client"), r9("builder").alias("builder"))
+    asked = q.select(F.struct("qt", "qb").alias("said"), "qt").distinct()
+    scanned = ranking.top_k(p.select("p_partkey", "nt", "nb"), ["nt"], ["p_partkey"], 5, "_first").drop("_first")
+    best = candidates.nearest(asked, scanned, 5, "said", "p_partkey", words=("qt", "nt")).select("said.*", "rank", "p_partkey", c("score").alias("client"), X.best_jaccard(c("said.qb"), c("nb")).alias("builder"))
+    return q.join(best, ["qt", "qb"]).select("qk", F.col("rank").cast("long").alias("rank"), "p_partkey", r9("client").alias("client"), r9("builder").alias("builder"))
 
 
 @query("SELECT doc_id, len(t)::BIGINT AS n_tokens, md5(array_to_string(list_sort(t), ' ')) AS digest FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS t FROM documents)")
