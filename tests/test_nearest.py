@@ -37,7 +37,7 @@ def test_best_of_odd_rows(spark, monkeypatch, block, k):
     assert C.nearest(steps.limit(0), nodes, k, "step_id", "seq", vectors).count() == 0 == C.nearest(steps, nodes.limit(0), k, "step_id", "seq", vectors).count()
 
 
-@pytest.mark.parametrize("name", ["function_match", "lexical_scores"])
+@pytest.mark.parametrize("name", ["function_match", "lexical_scores", "workflow_documents"])
 def test_searches_list_no_pairs(spark, data, monkeypatch, name):
     monkeypatch.setattr(C, "pairs", refuse)
     monkeypatch.setattr(C, "scored", refuse)

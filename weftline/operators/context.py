@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import relations as R
 from ..functions import text as X
 from ..functions import vectors as V
+from ..lineage import cut
 from . import candidates as C
 from .ranking import first_wins, last_wins, top_k
 
@@ -39,7 +40,8 @@ def neighbour_candidates(steps: DataFrame, direct: DataFrame, seeds_edges: DataF
     ends = F.posexplode(F.array("source", "target")).alias("endpoint", "id")
     near = d.join(seeds_edges, "seed").select("prompt_id", "step_index", "seed_rank", "seq", "relation", ends)
     near = near.join(direct.select("prompt_id", "step_index", F.col("node_id").alias("id")), ["prompt_id", "step_index", "id"], "left_anti")
-    near = near.join(F.broadcast(steps.select("prompt_id", "step_index", "text", "query")), ["prompt_id", "step_index"]).join(nodes.drop("seq"), "id")
+    near = first_wins(near, ["prompt_id", "step_index", "id", "relation"], ["seed_rank", "seq", "endpoint"])  # a score depends on these alone
+    near = near.join(steps.select("prompt_id", "step_index", "text", "query"), ["prompt_id", "step_index"]).join(nodes.drop("seq"), "id")
     lexical = X.lexical_builder(F.col("text"), F.col("name"), F.col("aliases"), F.col("description"))
     semantic = V.cosine_builder(V.doubles(F.col("query")), V.doubles(F.col("embedding")))
     near = near.withColumn("lexical_score", lexical).withColumn("semantic_score", semantic).withColumn("relation_score", R.relevance(F.col("relation")))
@@ -81,11 +83,11 @@ def build(steps: DataFrame, dependencies: DataFrame, nodes: DataFrame, edges: Da
     """Everything the planner needs: candidates, nodes and edges of the context graph, inferred nodes."""
     from .traverse import neighbourhood
 
-    direct = direct_candidates(steps, nodes, k)
+    direct = cut(direct_candidates(steps, nodes, k))
     seeds = direct.select(F.col("node_id").alias("id")).distinct()
     known = nodes.select("id")
     whole = edges.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
-    near = neighbourhood(whole, seeds, depth).join(whole.groupBy("source", "relation", "target").agg(F.min("seq").alias("seq")), ["source", "relation", "target"])
+    near = cut(neighbourhood(whole, seeds, depth).join(whole.groupBy("source", "relation", "target").agg(F.min("seq").alias("seq")), ["source", "relation", "target"]))
     cands = merge_candidates(direct.unionByName(neighbour_candidates(steps, direct, near, nodes)), k)
     mine = direct.select("prompt_id", F.col("node_id").alias("seed")).distinct().join(near, "seed")
     deps = C.resolve_dependencies(dependencies, steps, cands)

@@ -47,9 +47,9 @@ class Pipeline:
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, functions: DataFrame, embedding, model=None, config: Config = Config()):
         self.embedding, self.model, self.config = embedding, model, config
-        self.nodes, self.edges = fill_embeddings(nodes, embedding), edges
+        self.nodes, self.edges = cut(fill_embeddings(nodes, embedding)), cut(edges)  # every stage reads them
         text = X.function_text(*[F.col(c) for c in ("name", "description", "inputs", "outputs")])
-        self.functions = functions.withColumn("embedding", embedding.encode(text))
+        self.functions = cut(functions.withColumn("embedding", embedding.encode(text)))
 
     def run(self, prompts: DataFrame, name: str = "Generated Workflow") -> DataFrame:
         """One workflow document for each prompt; a prompt for which no operation is selected is an error."""
